@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category_name, valid_date
 from ..session import table
-from . import chosen_path, overlap, quotas, radix, terms
+from . import chosen_path, mixing, overlap, quotas, radix, terms, tokens
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +124,35 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quotas.draw(_eligible(spark, folder), _quotas(spark, folder)).withColumnRenamed("id", "article_id")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(_documents(spark, folder).select("id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Token counts of the documents of listed sources, and the targets (a fixed small table)."""
+    targets = table(spark, folder, "source_targets")
+    docs = _documents(spark, folder).select("id", "source", "text").join(targets.select("source").distinct(), "source", "left_semi")
+    return tokens.token_counts(docs), targets
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.source_shares(*_sizes(spark, folder)).filter("short").select("source")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with their number of copies."""
+    return mixing.mix_sources(*_sizes(spark, folder)).copies.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and actual shares of the sources in the mix."""
+    return mixing.mix_sources(*_sizes(spark, folder)).shares
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
@@ -136,4 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_quotas": p7_quotas,
     "p7_sample": p7_sample,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
