@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category_name, valid_date
 from ..session import table
-from . import chosen_path, mixing, overlap, quotas, radix, terms, tokens
+from . import chosen_path, mixing, overlap, quality, quotas, radix, terms, tokens
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,6 +153,15 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(*_sizes(spark, folder)).shares
 
 
+def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document, with its kind if it is not prose."""
+    return quality.text_statistics(_documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_stats(spark, folder).filter("kind is not null").select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
@@ -169,4 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
 }

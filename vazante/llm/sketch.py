@@ -7,13 +7,14 @@ shingles, class keys and MinHash coordinates are NumPy reductions over flat arra
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+# letters and numbers in the Unicode sense: what \w holds besides the underscore
+WORD = re.compile(r"[^\W_]+")
 COORDS = 64
 SLICE_CHARS = 4_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
