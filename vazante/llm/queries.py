@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category_name, valid_date
 from ..session import table
-from . import chosen_path, mixing, overlap, quality, quotas, radix, terms, tokens
+from . import chosen_path, mixing, overlap, quality, quotas, radix, subjects, terms, tokens
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_terms(spark, folder).filter("mark is not null").select("field", "term", "mark")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "subject_labels").select(F.col("article_id").alias("id"), "subject")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects_of(_texts(spark, folder), _labels(spark, folder)).withColumnRenamed("id", "article_id")
+
+
+def p3_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles by category name and subject."""
+    found = subjects.subjects_of(_texts(spark, folder), _labels(spark, folder))
+    rows = _articles(spark, folder).select(F.col("article_id").alias("id"), category_name(F.col("category")).alias("category"))
+    return rows.join(found, "id", "left").groupBy("category", "subject").agg(F.count("*").alias("articles"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.duplicate_pairs(chosen_path.near_duplicates(_texts(spark, folder)))
 
@@ -165,6 +180,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_composition": p3_composition,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
