@@ -1,3 +1,30 @@
 """DuckDB statements that give the same rows as the core queries."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .queries import PARTS
+
+_ANY = '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)'
+_SIX = '^("(?:[^"]|"")*"|[^",\\r\\n]*)' + ',("(?:[^"]|"")*"|[^",\\r\\n]*)' * 5 + "$"
+_BAD = "[\\x{FFFD}\\x7F\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
+# the s flag lets the dollar stand for the end of text only
+_FIELDS = (
+    "f AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '" + _ANY + "(?:," + _ANY + ")*') AS readable, "
+    "regexp_full_match(raw_line, '" + _ANY + "(?:," + _ANY + "){5}') AS six, "
+    + ", ".join(f"regexp_extract(raw_line, '{_SIX}', {k}) AS q{k}" for k in range(1, 7))
+    + " FROM articles_raw), "
+    "v AS (SELECT line_id, readable, six, "
+    + ", ".join(f"CASE WHEN starts_with(q{k}, '\"') THEN replace(substr(q{k}, 2, length(q{k}) - 2), '\"\"', '\"') ELSE q{k} END AS f{k}" for k in range(1, 7))
+    + " FROM f), "
+    "r AS (SELECT *, CASE WHEN readable IS NULL OR NOT readable THEN 'quoting' WHEN NOT six THEN 'columns' "
+    "WHEN f3 <> '' AND NOT coalesce(regexp_full_match(f3, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(f3 AS DATE) IS NOT NULL, false) THEN 'date' "
+    "WHEN regexp_matches(f2, '" + _BAD + "') THEN 'text' END AS reason FROM v)"
+)
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_FIELDS} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p1_loaded": f"WITH {_FIELDS} SELECT line_id, "
+    + ", ".join(f"nullif(f{k}, '') AS {n}" for k, n in enumerate(("title", "text", "date", "category", "subcategory", "link"), 1))
+    + " FROM r WHERE reason IS NULL",
+}
+for _part in PARTS:
+    ORACLE_SQL |= _part.ORACLE_SQL

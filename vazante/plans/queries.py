@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rows
 from ..session import table
+from . import corpus, temporal
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,8 +28,11 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return bad.groupBy("file_name", "reason", "broken_field").agg(F.count("*").alias("records"))
 
 
+PARTS = [temporal, corpus]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_loaded": p1_loaded,
     "p1_report": p1_report,
 }
+for _part in PARTS:
+    QUERIES |= _part.QUERIES
