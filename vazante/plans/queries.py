@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rows
 from ..session import table
-from . import corpus, evaluation, temporal
+from . import corpus, evaluation, learning, temporal
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return bad.groupBy("file_name", "reason", "broken_field").agg(F.count("*").alias("records"))
 
 
-PARTS = [temporal, corpus, evaluation]
+PARTS = [temporal, corpus, evaluation, learning]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_loaded": p1_loaded,
