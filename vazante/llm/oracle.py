@@ -1,3 +1,47 @@
 """DuckDB statements that give the same rows as the queries, where SQL can express them."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_DAY = "CASE WHEN regexp_full_match(date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(date AS DATE) END"
+_NAME = r"strip_accents(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')))"
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_CLEAN = r"regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+_TERMS = (
+    f"w AS (SELECT article_id AS id, unnest({_WORDS.format('text')}) AS term FROM articles WHERE text IS NOT NULL), "
+    "wn AS (SELECT count(text) AS total FROM articles), cn AS (SELECT count(category) AS total FROM articles), "
+    f"c AS (SELECT {_NAME.format('category')} AS term FROM articles WHERE category IS NOT NULL), "
+    "t AS (SELECT 'text' AS field, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM w GROUP BY term "
+    "UNION ALL SELECT 'category', term, count(*), count(*) FROM c GROUP BY term), "
+    "m AS (SELECT t.*, CASE WHEN field = 'text' AND records <= 2 OR field = 'category' AND records * 1000 < cn.total THEN 'rare' "
+    "WHEN field = 'text' AND records * 4 > wn.total OR field = 'category' AND records * 20 > cn.total THEN 'common' END AS mark FROM t, wn, cn)"
+)
+_PAIRS = (
+    f"w AS (SELECT article_id AS id, {_WORDS.format('text')} AS w FROM articles WHERE text IS NOT NULL), "
+    "s AS (SELECT id, unnest(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 20), "
+    "n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), "
+    "p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), "
+    "f AS (SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.7)"
+)
+_FORMATS = (
+    "l AS (SELECT article_id AS id, title, text, coalesce(link, '') AS link, instr(coalesce(link, ''), '?') AS q FROM articles), "
+    f"k AS (SELECT id, {_CLEAN.format('title')} AS a, {_CLEAN.format('text')} AS b, "
+    f"{_CLEAN.format('CASE WHEN q > 0 THEN substr(link, 1, q - 1) ELSE link END')} || "
+    "CASE WHEN q > 0 THEN array_to_string(list_sort(list_transform(string_split(substr(link, q + 1), '&'), "
+    f"lambda x: {_CLEAN.format('x')})), '') ELSE '' END AS u FROM l), "
+    "g AS (SELECT u, least(a, b) AS lo, greatest(a, b) AS hi, min(id) AS first_id, count(*) AS copies FROM k GROUP BY 1, 2, 3)"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "p2_terms": f"WITH {_TERMS} SELECT * FROM m",
+    "p2_found": f"WITH {_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p4_found": f"WITH {_PAIRS} SELECT * FROM f",
+    "p5_records": f"WITH {_FORMATS} SELECT first_id AS article_id, copies FROM g",
+    "p5_found": f"WITH {_FORMATS} SELECT first_id AS id_a, id AS id_b FROM k JOIN g ON k.u = g.u AND least(a, b) = lo AND greatest(a, b) = hi WHERE id <> first_id",
+    "p6_found": f"WITH {_PAIRS}, d AS (SELECT article_id AS id, split FROM (SELECT article_id, {_DAY} AS day FROM articles) JOIN split_periods ON day >= date_from AND day < date_to) "
+    "SELECT DISTINCT id_a, id_b FROM f JOIN d x ON x.id = id_a JOIN d y ON y.id = id_b WHERE (x.split = 'train' AND y.split IN ('valid', 'test')) OR (y.split = 'train' AND x.split IN ('valid', 'test'))",
+    "p7_found": f"WITH e AS (SELECT year({_DAY}) AS y, {_NAME.format('category')} AS name FROM articles WHERE category IS NOT NULL), "
+    "c AS (SELECT y, name, count(*) AS n FROM e WHERE y IS NOT NULL GROUP BY 1, 2), t AS (SELECT y, sum(n) AS n FROM c GROUP BY 1) "
+    f"SELECT target_set, category FROM category_targets LEFT JOIN c ON c.y = target_year AND c.name = {_NAME.format('category')} LEFT JOIN t ON t.y = target_year "
+    "WHERE coalesce(c.n, 0) < greatest(ceil(floor(coalesce(t.n, 0) * sample_pct / 100) * target_pct / 100), min_rows)",
+}

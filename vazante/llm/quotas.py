@@ -18,21 +18,14 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import random_key, smallest_keys
 from ..session import cut
 
 MOST_TARGETS = 100_000
 QUOTA = "target_set string, target_year int, category string, name string, target_pct int, min_rows int, sample_rows long, available long, wanted long, quota long"
-KEY_BITS = 16
-
-
-def random_key(id_column: Column, seed: str) -> Column:
-    """60 random bits of an id, reproducible in any engine that has md5."""
-    digest = F.md5(F.concat(F.lit(seed), id_column.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def allocate(size: int, shares: list[int], least: list[int], available: list[int]) -> list[int]:
@@ -100,7 +93,8 @@ def quotas(rows: DataFrame, targets: DataFrame) -> DataFrame:
         return pdf
 
     known = (
-        targets.filter("target_set is not null and target_year is not null and category is not null")
+        targets.select("target_set", "target_year", "sample_pct", "category", "target_pct", "min_rows", "name")
+        .filter("target_set is not null and target_year is not null and category is not null")
         .fillna(0, ["target_pct", "min_rows", "sample_pct"])
         .join(counts.withColumnRenamed("year", "target_year"), ["target_year", "name"], "left")
         .join(totals.withColumnRenamed("year", "target_year"), "target_year", "left")
@@ -119,24 +113,10 @@ def draw(rows: DataFrame, quota: DataFrame, seed: str = "vazante") -> DataFrame:
     ``rows(id, year, name)`` are the eligible rows, ``quota`` the result of ``quotas``.
     """
     want = quota.filter("quota > 0").select("target_set", "category", F.col("target_year").alias("year"), "name", "quota")
-    keyed = rows.join(F.broadcast(want), ["year", "name"]).select(
+    keyed = rows.select("id", "year", "name").join(F.broadcast(want), ["year", "name"]).select(
         "target_set", "category", "quota", "id", random_key(F.concat(F.col("target_set"), F.lit(":"), F.col("id")), seed).alias("key")
     )
-    keyed = keyed.withColumn("slot", F.shiftrightunsigned("key", 60 - KEY_BITS))
-    slots = keyed.groupBy("target_set", "category", "quota", "slot").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("target_set", "category").orderBy("slot")) - F.col("n")
-    last = slots.withColumn("before", before).filter("before < quota and before + n >= quota").select(
-        "target_set", "category", F.col("slot").alias("last_slot"), "before"
-    )
-    marked = keyed.join(F.broadcast(last), ["target_set", "category"], "left")
-    inside = marked.filter("last_slot is null or slot < last_slot").select("target_set", "category", "id")
-    edge = (
-        marked.filter("slot = last_slot")
-        .withColumn("rank", F.row_number().over(W.partitionBy("target_set", "category").orderBy("key", "id")))
-        .filter("rank <= quota - before")
-        .select("target_set", "category", "id")
-    )
-    return inside.union(edge)
+    return smallest_keys(keyed, ["target_set", "category"], "quota").select("target_set", "category", "id")
 
 
 def unmet(quota: DataFrame) -> DataFrame:

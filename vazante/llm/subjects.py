@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .quotas import random_key
+from ..operators.sampling import random_key
 from .sketch import slices, words_of
 
 END = re.compile(r"(?<=[.!?…])[\"”»)']*\s+")
