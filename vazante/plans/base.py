@@ -12,10 +12,10 @@ from ..session import table
 LAST_MONTH = "2017-10-01"  # the first month that is not complete
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
+def articles(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Articles with ``day`` (null unless valid), folded ``category`` and ``positive``."""
     return (
-        table(spark, folder, "articles")
+        table(spark, folder, "articles", spread)
         .withColumn("day", valid_date(F.col("date")))
         .withColumn("category", category_name(F.col("category")))
         .withColumn("positive", F.coalesce(F.col("category") == POSITIVE, F.lit(False)))

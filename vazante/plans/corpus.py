@@ -17,8 +17,8 @@ SEED = "20260423"
 FIELDS = ["link", "title", "text"]
 
 
-def _rows(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).withColumnRenamed("article_id", "id")
+def _rows(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    return articles(spark, folder, spread).withColumnRenamed("article_id", "id")
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +32,7 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near(spark: SparkSession, folder: str) -> D.NearPairs:
-    return D.near_pairs(_rows(spark, folder))
+    return D.near_pairs(_rows(spark, folder, spread=True))
 
 
 def near_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, folder: str) -> DataFrame:
-    return L.sample_by_category(_rows(spark, folder), 2000, SEED)
+    return L.sample_by_category(_rows(spark, folder, spread=True), 2000, SEED)
 
 
 def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES = {
     "resumo_duplicatas": lambda s, d: rounded(D.exact_report(_rows(s, d), FIELDS)),
     "afetadas_exatas": lambda s, d: D.exact_affected(_rows(s, d), FIELDS),
     "shingles": shingles,
-    "minhash_assinaturas": lambda s, d: D.signatures(_rows(s, d).select("id", T.squeezed(F.col("text")).alias("text"))).select("id", F.md5("sig").alias("assinatura"), F.size("bands").alias("bandas")),
+    "minhash_assinaturas": lambda s, d: D.signatures(_rows(s, d, spread=True).select("id", T.squeezed(F.col("text")).alias("text"))).select("id", F.md5("sig").alias("assinatura"), F.size("bands").alias("bandas")),
     "pares_near_dup": lambda s, d: near(s, d).pairs,
     "classes_near_dup": lambda s, d: near(s, d).members,
     "pares_enriquecidos": lambda s, d: D.enriched(near(s, d).pairs, _rows(s, d)),
@@ -100,7 +100,7 @@ QUERIES = {
     "componentes_conexos": lambda s, d: D.near_components(near(s, d)),
     "afetadas_near": lambda s, d: D.near_affected(D.near_components(near(s, d))),
     "resumo_deduplicacao": near_summary,
-    "tokens_top_k": lambda s, d: L.top_tokens(articles(s, d).select("text"), 50),
+    "tokens_top_k": lambda s, d: L.top_tokens(articles(s, d, spread=True).select("text"), 50),
     "tokens_top_k_por_grupo": lambda s, d: L.top_tokens_by(_quarters(s, d), "trimestre", 50),
     "amostra_estratificada": lambda s, d: _sample(s, d).select("id", "category"),
     "tfidf_top_k": _tfidf,

@@ -73,6 +73,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan one table of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """Scan one table of a data folder.
+
+    ``spread`` is for scans that feed heavy per-row work: where the files give fewer partitions than
+    there are cores (a single small file, say), rows are dealt out first. Larger tables are left as
+    they are, so no text is shuffled for it at scale.
+    """
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if spread and scan.rdd.getNumPartitions() < cores else scan
