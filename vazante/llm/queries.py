@@ -13,7 +13,7 @@ from . import chosen_path, mixing, overlap, quality, quotas, radix, subjects, te
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "articles")
+    return table(spark, folder, "articles", spread=True)
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +140,7 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
+    return table(spark, folder, "documents", spread=True).withColumnRenamed("doc_id", "id")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
