@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import jaccard
 from ..functions.text import letter_tokens, tokens
+from ..session import cut
 from .sampling import random_key, smallest_keys
 
 
@@ -58,12 +59,13 @@ def tfidf_top(docs: DataFrame, k: int = 30, min_df: int = 2, max_df: float = 0.9
     """
     total = docs.agg(F.count("*").alias("total"))
     sizes = docs.groupBy("category").agg(F.count("*").alias("docs"))
-    tf = docs.select("id", "category", F.explode(letter_tokens(F.col("text"))).alias("token")).groupBy("id", "category", "token").agg(F.count("*").alias("tf"))
+    words = docs.select("id", "category", F.explode(letter_tokens(F.col("text"))).alias("token"))
+    tf = cut(words.groupBy("id", "category", "token").agg(F.count("*").alias("tf")), "term-counts")  # read three times
     df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))
     idf = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("total"))).select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = weighed.join(norms, "id").groupBy("category", "token").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a document's tokens
+    sums = weighed.withColumn("unit", F.col("w") / norm).groupBy("category", "token").agg(F.sum("unit").alias("s"))
     mean = sums.join(sizes, "category").select(F.col("category").alias("categoria"), "token", F.round(F.col("s") / F.col("docs"), 10).alias("tfidf_mean"))
     rank = F.row_number().over(W.partitionBy("categoria").orderBy(F.desc("tfidf_mean"), "token"))
     return mean.withColumn("rank", rank).filter(F.col("rank") <= k).select("categoria", "rank", "token", "tfidf_mean")

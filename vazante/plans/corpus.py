@@ -10,7 +10,8 @@ from ..operators import corpus as C
 from ..operators import duplicates as D
 from ..operators import lexical as L
 from ..schemas import ANCHORS, FIVE, POSITIVE
-from .base import ART, DAY, NAME, articles, rounded
+from ..session import cut
+from .base import ART, articles, rounded
 
 THRESHOLD = 100  # rows of a frequent class
 SEED = "20260423"
@@ -50,7 +51,7 @@ def _sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return L.tfidf_top(_sample(spark, folder))
+    return L.tfidf_top(cut(_sample(spark, folder), "sample"))
 
 
 def _quarters(spark: SparkSession, folder: str) -> DataFrame:
