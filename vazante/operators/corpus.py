@@ -37,11 +37,15 @@ def numbered(df: DataFrame, order: list, name: str = "id_raw") -> DataFrame:
     )
 
 
-def prepared(articles: DataFrame) -> DataFrame:
-    """Rows with day and text: ``id_raw`` is the place by (day, link, article_id), nulls last, before the filter."""
+def prepared(articles: DataFrame, with_text: bool = False) -> DataFrame:
+    """Rows with day and text: ``id_raw`` is the place by (day, link, article_id), nulls last, before the filter.
+
+    Only the keys are sorted; ``with_text`` joins title and text to the result.
+    """
     order = [F.col(c).asc_nulls_last() for c in ("day", "link", "article_id")]
-    rows = numbered(articles.select("title", "text", "day", F.col("category").alias("y_original"), "link", "article_id"), order)
-    return rows.filter("day is not null and text is not null")
+    keys = articles.select("article_id", "day", "link", F.col("category").alias("y_original"), F.col("text").isNotNull().alias("has_text"))
+    rows = numbered(keys, order).filter("day is not null and has_text").drop("has_text")
+    return rows.join(articles.select("article_id", "title", "text"), "article_id") if with_text else rows
 
 
 def without_copies(corpus: DataFrame) -> DataFrame:

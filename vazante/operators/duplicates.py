@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,11 +17,16 @@ from ..session import cut
 from .graph import connected_components
 
 
+def digest(column: str) -> Column:
+    """A 256-bit key of a value, so that long texts are not shuffled to be compared."""
+    return F.sha2(F.col(column), 256)
+
+
 def exact_groups(df: DataFrame, column: str) -> DataFrame:
-    """``valor, n, primeiro`` (least id) of the values that occur more than once; nulls never group."""
+    """``chave, n, primeiro`` (least id) of the values that occur more than once; nulls never group."""
     return (
         df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("valor"))
+        .groupBy(digest(column).alias("chave"))
         .agg(F.count("*").alias("n"), F.min("id").alias("primeiro"))
         .filter("n > 1")
     )
@@ -44,11 +49,13 @@ def exact_examples(df: DataFrame, column: str, number: int = 5, ids: int = 10) -
     The rank filter is applied within each task before the shuffle (a window group limit), so of a
     group of any size a task passes on at most ``ids`` rows.
     """
-    top = exact_groups(df, column).orderBy(F.desc("n"), "valor").limit(number).select("valor", "n")
-    rank = F.row_number().over(W.partitionBy("valor").orderBy("id"))
-    rows = df.select("id", F.col(column).alias("valor")).withColumn("rank", rank).filter(F.col("rank") <= ids)
-    listed = rows.join(F.broadcast(top), "valor").groupBy("valor", "n").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return listed.select(shortened(F.col("valor")).alias("valor"), F.col("n").alias("n_ocorrencias"), "ids")
+    shown = shortened(F.col(column))
+    groups = df.filter(F.col(column).isNotNull()).groupBy(digest(column).alias("chave"), shown.alias("valor")).agg(F.count("*").alias("n"))
+    top = groups.filter("n > 1").orderBy(F.desc("n"), "valor", "chave").limit(number)
+    rank = F.row_number().over(W.partitionBy("chave").orderBy("id"))
+    rows = df.select("id", digest(column).alias("chave")).withColumn("rank", rank).filter(F.col("rank") <= ids)
+    listed = rows.join(F.broadcast(top), "chave").groupBy("chave", "valor", "n").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return listed.select("valor", F.col("n").alias("n_ocorrencias"), "ids")
 
 
 def exact_affected(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,7 +63,7 @@ def exact_affected(df: DataFrame, columns: list[str]) -> DataFrame:
     out = None
     for column in columns:
         groups = exact_groups(df, column)
-        rows = df.select("id", F.col(column).alias("valor")).join(groups, "valor").filter("id > primeiro").select("id")
+        rows = df.select("id", digest(column).alias("chave")).join(groups, "chave").filter("id > primeiro").select("id")
         out = rows if out is None else out.union(rows)
     return out.distinct()
 

@@ -91,8 +91,8 @@ def by_year_and_category(rows: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls, their share and the number of distinct values of each column, in one aggregation."""
-    cells = [F.struct(F.lit(c).alias("coluna"), F.col(c).cast("string").alias("v"), F.lit(dict(df.dtypes)[c]).alias("dtype")) for c in columns]
+    """Nulls, their share and the number of distinct values of each column, in one aggregation by digests."""
+    cells = [F.struct(F.lit(c).alias("coluna"), F.md5(F.col(c).cast("string").cast("binary")).alias("v"), F.lit(dict(df.dtypes)[c]).alias("dtype")) for c in columns]
     values = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.coluna", "c.dtype", "c.v").agg(F.count("*").alias("n"))
     return values.groupBy("coluna", "dtype").agg(
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulos"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import splits as S
-from ..operators.duplicates import exact_groups
+from ..operators.duplicates import digest, exact_groups
 from ..schemas import POSITIVE
 from ..session import cut, table
 from .base import ART, LAST_MONTH, articles, rounded
@@ -33,8 +33,8 @@ def fold_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def leakage(spark: SparkSession, folder: str) -> DataFrame:
     """Leakage of pairs of equal texts (least id with each other) between rolling training and test."""
     rows = _dated(spark, folder)
-    groups = exact_groups(rows, "text").select(F.col("valor").alias("text"), F.col("primeiro").alias("id_a"))
-    pairs = rows.join(groups, "text").filter("id > id_a").select("id_a", F.col("id").alias("id_b"))
+    groups = exact_groups(rows, "text").select("chave", F.col("primeiro").alias("id_a"))
+    pairs = rows.select("id", digest("text").alias("chave")).join(groups, "chave").filter("id > id_a").select("id_a", F.col("id").alias("id_b"))
     folds = S.rolling_folds(rows).select("id", "fold", F.when(F.col("papel") == "teste", "teste").otherwise("treino").alias("lado"))
     return rounded(S.leakage(pairs, folds))
 
