@@ -258,7 +258,7 @@ def kind_of(c: dict[str, int]) -> str | None:
     share = c["common"] / max(1, words)
     if c["bad"] > 0.12 * chars or c["long"] > 0.35 * chars and share < 0.2:
         return "junk"
-    if words >= 12 and c["distinct"] <= DISTINCT and c["distinct"] * 6 <= words and c["distinct"] <= 12:
+    if words >= 6 and c["distinct"] <= 12 and c["distinct"] * 6 <= words:
         return "junk"
     if c["tags"] * 2 >= words and words >= 4:
         return "junk"
@@ -288,6 +288,8 @@ def kind_of(c: dict[str, int]) -> str | None:
         return "junk"
     if c["mixed"] > 0.25 * words:
         return "junk"
+    if lines <= 2 and words >= 8 and share <= 0.2 and not c["sentence_lines"] + c["row_lines"] + c["stops"] + c["enders"]:
+        return "junk"
     noise = c["noise_words"]
     if c["row_lines"] >= 2 and c["row_lines"] >= c["item_lines"]:
         return "table" if c["row_words"] >= noise else "junk"
