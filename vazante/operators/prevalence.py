@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
 
-UNITS = {"D": ("DAY", "INTERVAL 1 DAY"), "W": ("WEEK", "INTERVAL 7 DAYS"), "M": ("MONTH", "INTERVAL 1 MONTH")}
+UNITS = {"D": ("DAY", "INTERVAL 1 DAY", "date_sub(next, 1)"), "W": ("WEEK", "INTERVAL 7 DAYS", "date_sub(next, 7)"), "M": ("MONTH", "INTERVAL 1 MONTH", "add_months(next, -1)")}
 #: Weekday labels from Monday.
 WEEKDAYS = ("seg", "ter", "qua", "qui", "sex", "sáb", "dom")
 
@@ -24,10 +24,17 @@ def period(day: Column, unit: str) -> Column:
     return day if unit == "D" else F.trunc(day, UNITS[unit][0])
 
 
-def calendar(counts: DataFrame, unit: str, column: str = "data") -> DataFrame:
-    """Every period between the first and the last of ``counts``; none if it is empty."""
-    ends = counts.agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a is not null")
-    return ends.select(F.explode(F.expr(f"sequence(a, b, {UNITS[unit][1]})")).alias(column))
+def filled(counts: DataFrame, unit: str, values: list[str]) -> DataFrame:
+    """``counts(data, values)`` with a row of zeros for every period between two that it has.
+
+    Each period brings the empty ones up to the next, so the counted table is read once; the window
+    runs over one row a period.
+    """
+    _, step, before_next = UNITS[unit]
+    following = counts.withColumn("next", F.lead("data").over(W.partitionBy().orderBy("data")))
+    periods = F.expr(f"if(next is null, array(data), sequence(data, {before_next}, {step}))")
+    spread = following.withColumn("p", F.explode(periods))
+    return spread.select(F.col("p").alias("data"), *(F.when(F.col("p") == F.col("data"), F.col(v)).otherwise(0).alias(v) for v in values))
 
 
 def series(rows: DataFrame, unit: str) -> DataFrame:
@@ -37,7 +44,7 @@ def series(rows: DataFrame, unit: str) -> DataFrame:
         .groupBy(period(F.col("day"), unit).alias("data"))
         .agg(F.count("*").alias("total"), F.count_if("positive").alias("positivos"))
     )
-    full = calendar(counts, unit).join(counts, "data", "left").fillna(0, ["total", "positivos"])
+    full = filled(counts, unit, ["total", "positivos"])
     share, low, high = wilson(F.col("positivos"), F.col("total"))
     return full.select("data", "total", "positivos", share.alias("prevalencia"), low.alias("ic_inf"), high.alias("ic_sup"))
 
