@@ -199,6 +199,20 @@ def test_drift_tests_find_the_shift_and_only_it(vectors):
         assert got[11, test] < 0.02 and 0.15 < same[5] < 0.9 and same[3] > 0.05
 
 
+def test_whole_drift_run(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, DAY(2016, 1 + k % 3, 1 + k % 25), [float(x) for x in rng.normal(2.0 * (k % 3 == 2), 1, 4)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, day date, embedding array<float>")
+    out = D.statistical_drift(df, D.monthly_windows(df), 1, 50).collect()
+    assert {(r.condicao, r.repeticao): sum(1 for x in out if x.condicao == r.condicao) for r in out} == {("time_ordered", 0): 8, ("randomized", 0): 8}
+    real = {(r.janela_a, r.janela_b): r.p_value for r in out if r.condicao == "time_ordered" and r.teste == "KTS"}
+    assert real["2016-02", "2016-03"] < 0.05 and {r.janela_a for r in out if r.condicao == "randomized"} == {"rand_000", "rand_001"}
+    with pytest.raises(ValueError):
+        D.statistical_drift(df.filter("day < '2016-02-01'"), D.monthly_windows(df.filter("day < '2016-02-01'")))
+    meters = {r["metrica"]: r["count"] for r in D.semantic_distances(D.windowed(df, D.monthly_windows(df))).groupBy("metrica").count().collect()}
+    assert meters == {"cosine_centroid": 2, "cumulative_cosine": 2, "mmd2": 2}
+
+
 def test_statistics_equal_direct_formulas(vectors):
     data = {w: np.array([r.embedding for r in vectors.filter(f"janela_idx = {w} and embedding is not null").collect()]) for w in (0, 1)}
     ks = {r.dim: r.estatistica for r in D.ks_statistics(vectors).filter("par = 0").collect()}

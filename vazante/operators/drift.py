@@ -281,6 +281,49 @@ def all_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026) -> Dat
     return combined(ks_statistics(rows), "KS").union(combined(cvm_statistics(rows), "CVM")).union(kernel_tests(rows, permutations, seed))
 
 
+def _labelled(pairs: DataFrame, rows: DataFrame, condition: str, repetition: int) -> DataFrame:
+    """Pair results with the labels of their two windows, a condition and a repetition."""
+    labels = rows.select(*WINDOW).distinct()
+    a = labels.select(F.col("janela_idx").alias("par"), F.col("rotulo").alias("janela_a"))
+    b = labels.select((F.col("janela_idx") - 1).alias("par"), F.col("rotulo").alias("janela_b"))
+    fixed = {"condicao": F.lit(condition), "repeticao": F.lit(repetition)}
+    return pairs.join(a, "par").join(b, "par").withColumns(fixed).drop("par")
+
+
+def _conditions(rows: DataFrame, windows: DataFrame, repetitions: int, seed: int, test, unit: str) -> DataFrame:
+    """``test`` on the windows in time (repetition 0) and on randomly filled windows of the same sizes."""
+    if windows.count() < 2:
+        raise ValueError("fewer than two windows")
+    ordered = cut(windowed(rows, windows, unit), "ordered")
+    out = _labelled(test(ordered, seed), ordered, "time_ordered", 0)
+    if repetitions:
+        parts = cut(random_windows(ordered.select("id"), windows, repetitions, seed).join(rows.select("id", "embedding"), "id"), "randomized")
+        for r in range(repetitions):
+            own = parts.filter(F.col("repeticao") == r)
+            out = out.unionByName(_labelled(test(own, seed + r + 1), own, "randomized", r))
+    return out
+
+
+def statistical_drift(rows: DataFrame, windows: DataFrame, repetitions: int = 5, permutations: int = 100, seed: int = 2026, unit: str = "month") -> DataFrame:
+    """The four tests of neighbouring windows under both conditions: ``janela_a, janela_b, teste, condicao,
+    repeticao, p_value, estatistica``. Fewer than two windows are an error."""
+    found = _conditions(rows, windows, repetitions, seed, lambda r, s: all_tests(r, permutations, s), unit)
+    return found.select("janela_a", "janela_b", "teste", "condicao", "repeticao", "p_value", "estatistica")
+
+
+def semantic_distances(rows: DataFrame, seed: int = 2026) -> DataFrame:
+    """``metrica, janela_a, janela_b, valor``: both centroid distances and the squared discrepancy of neighbours."""
+    means = cut(centroids(rows), "centroids")
+    labels = means.select(*WINDOW)
+    mmd = kernel_tests(rows, 1, seed).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor"))
+    named = (
+        mmd.join(labels.select(F.col("janela_idx").alias("par"), F.col("rotulo").alias("janela_a")), "par")
+        .join(labels.select((F.col("janela_idx") - 1).alias("par"), F.col("rotulo").alias("janela_b")), "par")
+        .select(F.lit("mmd2").alias("metrica"), "janela_a", "janela_b", "valor")
+    )
+    return consecutive_cosine(means).union(cumulative_cosine(means, _width(rows))).union(named)
+
+
 def p_value_table(results: DataFrame) -> DataFrame:
     """Count, mean, deviation (0 of one) and exact quartiles of the p values by scope, granularity, test and condition."""
     q = F.percentile("p_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
