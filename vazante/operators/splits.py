@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import numbered
+from .duplicates import NearPairs
 from .sampling import random_key, smallest_keys
 
 
@@ -65,3 +66,23 @@ def leakage(pairs: DataFrame, folds: DataFrame) -> DataFrame:
         F.count_if((F.col("lado_a") == "teste") & (F.col("lado_b") == "teste")).alias("pares_dentro_teste"),
         F.coalesce(F.try_divide(across, F.count("*")), F.lit(0.0)).alias("fracao_cruzando"),
     )
+
+
+def near_leakage(found: NearPairs, folds: DataFrame) -> DataFrame:
+    """The columns of :func:`leakage` for all pairs of rows with equal or nearly equal texts, over ``folds(id, fold, lado)``.
+
+    Each class of equal texts is counted by fold and side; its pairs, and those of two linked classes, are
+    products of these counts, so no pair of copies is expanded. Folds without pairs have zeros.
+    """
+    sides = found.members.join(folds, "id").groupBy("rep", "fold").agg(F.count_if(F.col("lado") == "treino").alias("tr"), F.count_if(F.col("lado") == "teste").alias("te"))
+    half = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
+    copies = sides.select("fold", (F.col("tr") * F.col("te")).alias("across"), half("tr").alias("train"), half("te").alias("test"))
+    a, b = (sides.select(F.col("rep").alias(f"id_{x}"), "fold", F.col("tr").alias(f"tr_{x}"), F.col("te").alias(f"te_{x}")) for x in "ab")
+    linked = found.pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "fold"])
+    links = linked.selectExpr("fold", "tr_a * te_b + te_a * tr_b AS across", "tr_a * tr_b AS train", "te_a * te_b AS test")
+    total = F.sum(F.expr("across + train + test"))
+    return copies.union(links).rollup("fold").agg(
+        total.alias("pares_presentes"), F.sum("across").alias("pares_cruzando_treino_teste"),
+        F.sum("train").alias("pares_dentro_treino"), F.sum("test").alias("pares_dentro_teste"),
+        F.coalesce(F.try_divide(F.sum("across"), total), F.lit(0.0)).alias("fracao_cruzando"),
+    )

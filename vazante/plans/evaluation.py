@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import splits as S
-from ..operators.duplicates import digest, exact_groups
+from ..operators.duplicates import near_pairs
 from ..schemas import POSITIVE
 from ..session import cut, table
 from .base import ART, LAST_MONTH, articles, rounded
@@ -16,8 +16,8 @@ from .base import ART, LAST_MONTH, articles, rounded
 START = "2015-01-01"
 
 
-def _dated(spark: SparkSession, folder: str) -> DataFrame:
-    rows = articles(spark, folder).select(F.col("article_id").alias("id"), "day", "category", "text")
+def _dated(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    rows = articles(spark, folder, spread).select(F.col("article_id").alias("id"), "day", "category", "text")
     return rows.filter((F.col("day") >= START) & (F.col("day") < LAST_MONTH))
 
 
@@ -31,12 +31,10 @@ def fold_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leakage(spark: SparkSession, folder: str) -> DataFrame:
-    """Leakage of pairs of equal texts (least id with each other) between rolling training and test."""
-    rows = _dated(spark, folder)
-    groups = exact_groups(rows, "text").select("chave", F.col("primeiro").alias("id_a"))
-    pairs = rows.select("id", digest("text").alias("chave")).join(groups, "chave").filter("id > id_a").select("id_a", F.col("id").alias("id_b"))
+    """Leakage of all pairs of equal or nearly equal texts between rolling training and test."""
+    rows = _dated(spark, folder, spread=True)
     folds = S.rolling_folds(rows).select("id", "fold", F.when(F.col("papel") == "teste", "teste").otherwise("treino").alias("lado"))
-    return rounded(S.leakage(pairs, folds))
+    return rounded(S.near_leakage(near_pairs(rows), folds))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
