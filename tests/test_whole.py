@@ -53,3 +53,22 @@ def test_leakage_query_takes_near_pairs(spark, folder):
         met = [(side[a], side[b]) for a, b in pairs if a in side and b in side]
         assert got[fold] == (len(met), sum(a != b for a, b in met), met.count((False, False)), met.count((True, True)))
     assert got[None] == tuple(sum(got[f][k] for f in sides) for k in range(4))
+
+
+def test_distant_pairs_look_at_all_rows_of_a_class(spark):
+    texts = _copies_and_edits()
+    days = [None, "2015-01-01", "2016-01-01", "2015-01-05", "2015-01-06", "2015-01-07", "2015-01-01"]
+    rows = spark.createDataFrame([(k, DAY.fromisoformat(d) if d else None, t, "t", "c") for k, (d, t) in enumerate(zip(days, texts))], "id long, day date, text string, title string, category string")
+    found = U.near_pairs(rows)
+    got = {(r.rep_a, r.rep_b): r for r in U.enriched(U.distant_pairs(found, rows), rows).collect()}
+    assert {k: (r.id_a, r.id_b, r.dias) for k, r in got.items()} == {(0, 0): (1, 2, 365), (0, 3): (2, 3, 361)}
+    assert got[0, 0].jaccard_estimado == 1 > got[0, 3].jaccard_estimado >= 0.85
+    assert U.distant_pairs(found, rows, 365).count() == 0
+
+
+def test_summary_counts_row_pairs(spark):
+    rows = spark.createDataFrame(list(enumerate(_copies_and_edits())), "id long, text string")
+    found = U.near_pairs(rows)
+    assert U.near_row_pairs(found).first().n == 15
+    none = rows.select("id").limit(0)
+    assert U.dedup_summary(rows.select("text"), none, none, U.near_row_pairs(found)).first().pares_near_encontrados == 15

@@ -127,11 +127,42 @@ def enriched(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumn("dias", F.abs(F.datediff("day_a", "day_b")))
 
 
+def distant_pairs(found: NearPairs, rows: DataFrame, days: int = 30) -> DataFrame:
+    """Classes of equal texts and links of two classes with rows over ``days`` days apart: ``id_a < id_b``,
+    ``jaccard_estimado`` (1 in a class), ``rep_a, rep_b`` (equal in a class).
+
+    The ids are those of the two rows furthest apart, from the first and last dated row of each class in
+    ``rows(id, day)``; a link compares rows of one class with those of the other.
+    """
+    dated = rows.filter("day is not null").select("id", "day")
+    at = F.struct("day", "id")
+    ends = cut(found.members.join(dated, "id").groupBy("rep").agg(F.min(at).alias("lo"), F.max(at).alias("hi")), "class-days")
+    own = ends.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(1.0).alias("jaccard_estimado"), F.col("lo").alias("x"), F.col("hi").alias("y"))
+    a, b = (ends.select(F.col("rep").alias(f"id_{k}"), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ab")
+    late_b = F.datediff("hi_b.day", "lo_a.day") >= F.datediff("hi_a.day", "lo_b.day")
+    linked = found.pairs.join(a, "id_a").join(b, "id_b").select(
+        F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), "jaccard_estimado",
+        F.when(late_b, F.col("lo_a")).otherwise(F.col("lo_b")).alias("x"), F.when(late_b, F.col("hi_b")).otherwise(F.col("hi_a")).alias("y"),
+    )
+    far = own.union(linked).filter(F.datediff("y.day", "x.day") > days)
+    return far.select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"), "jaccard_estimado", "rep_a", "rep_b")
+
+
+def near_row_pairs(found: NearPairs) -> DataFrame:
+    """One row, ``n``: pairs of rows in equal or linked classes, from the sizes of the classes."""
+    sizes = found.members.groupBy("rep").agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col("rep").alias(f"id_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    links = found.pairs.join(a, "id_a").join(b, "id_b").selectExpr("n_a * n_b AS n")
+    return sizes.selectExpr("n * (n - 1) div 2 AS n").union(links).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def dedup_summary(rows: DataFrame, exact: DataFrame, near: DataFrame, pairs: DataFrame, stop_above: float = 0.01) -> DataFrame:
-    """One row: rows, rows affected exactly, nearly and in either way, and whether their share is too large."""
+    """One row: rows, rows affected exactly, nearly and in either way, pairs (``pairs`` has their number ``n``),
+    and whether the share of affected rows is too large."""
     either = exact.union(near).distinct().agg(F.count("*").alias("afetadas_uniao"))
     one = rows.agg(F.count("*").alias("total_corpus_bruto"), F.count_if(F.col("text").isNull()).alias("linhas_com_text_nulo"))
-    for df, name in ((exact, "afetadas_exatas"), (near, "afetadas_near"), (pairs, "pares_near_encontrados")):
+    for df, name in ((exact, "afetadas_exatas"), (near, "afetadas_near")):
         one = one.join(F.broadcast(df.agg(F.count("*").alias(name))))
+    one = one.join(F.broadcast(pairs.select(F.col("n").alias("pares_near_encontrados"))))
     share = F.coalesce(F.try_divide("afetadas_uniao", "total_corpus_bruto"), F.lit(0.0))
     return one.join(F.broadcast(either)).withColumn("pct_corpus_afetado", share).withColumn("parada_acionada", share > stop_above)

@@ -39,7 +39,7 @@ def near(spark: SparkSession, folder: str) -> D.NearPairs:
 def near_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows, found = _rows(spark, folder), near(spark, folder)
     affected = D.near_affected(D.near_components(found))
-    return rounded(D.dedup_summary(rows.select("text"), D.exact_affected(rows, FIELDS), affected, found.pairs))
+    return rounded(D.dedup_summary(rows.select("text"), D.exact_affected(rows, FIELDS), affected, D.near_row_pairs(found)))
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +97,7 @@ QUERIES = {
     "pares_near_dup": lambda s, d: near(s, d).pairs,
     "classes_near_dup": lambda s, d: near(s, d).members,
     "pares_enriquecidos": lambda s, d: D.enriched(near(s, d).pairs, _rows(s, d)),
-    "pares_distantes": lambda s, d: D.enriched(near(s, d).pairs, _rows(s, d)).filter("dias > 30"),
+    "pares_distantes": lambda s, d: D.enriched(D.distant_pairs(near(s, d), _rows(s, d)), _rows(s, d)),
     "componentes_conexos": lambda s, d: D.near_components(near(s, d)),
     "afetadas_near": lambda s, d: D.near_affected(D.near_components(near(s, d))),
     "resumo_deduplicacao": near_summary,
