@@ -72,3 +72,16 @@ def test_summary_counts_row_pairs(spark):
     assert U.near_row_pairs(found).first().n == 15
     none = rows.select("id").limit(0)
     assert U.dedup_summary(rows.select("text"), none, none, U.near_row_pairs(found)).first().pares_near_encontrados == 15
+
+
+SIX = {("time_ordered", 0), *(("randomized", r) for r in range(5))}
+
+
+def test_semantic_drift_runs_all_conditions(spark, folder):
+    out = evaluation.QUERIES["drift_semantico"](spark, folder).collect()
+    assert {(r.condicao, r.repeticao) for r in out} == SIX
+    sizes = {}
+    for r in out:
+        sizes.setdefault((r.condicao, r.repeticao), []).append(r.metrica)
+    assert all({m: own.count(m) for m in own} == {m: len(own) // 3 for m in ("cosine_centroid", "cumulative_cosine", "mmd2")} for own in sizes.values())
+    assert len({len(own) for own in sizes.values()}) == 1

@@ -290,17 +290,27 @@ def _labelled(pairs: DataFrame, rows: DataFrame, condition: str, repetition: int
     return pairs.join(a, "par").join(b, "par").withColumns(fixed).drop("par")
 
 
-def _conditions(rows: DataFrame, windows: DataFrame, repetitions: int, seed: int, test, unit: str) -> DataFrame:
-    """``test`` on the windows in time (repetition 0) and on randomly filled windows of the same sizes."""
+def _conditions(rows: DataFrame, windows: DataFrame, repetitions: int, seed: int, test, unit: str, labelled: bool = False) -> DataFrame:
+    """``test`` on the windows in time (repetition 0) and on randomly filled windows of the same sizes.
+
+    ``labelled``: the results of ``test`` have the windows' labels already, not their pair.
+    """
+
+    def named(own: DataFrame, seed: int, condition: str, repetition: int) -> DataFrame:
+        found = test(own, seed)
+        if labelled:
+            return found.withColumns({"condicao": F.lit(condition), "repeticao": F.lit(repetition)})
+        return _labelled(found, own, condition, repetition)
+
     if windows.count() < 2:
         raise ValueError("fewer than two windows")
     ordered = cut(windowed(rows, windows, unit), "ordered")
-    out = _labelled(test(ordered, seed), ordered, "time_ordered", 0)
+    out = named(ordered, seed, "time_ordered", 0)
     if repetitions:
         parts = cut(random_windows(ordered.select("id"), windows, repetitions, seed).join(rows.select("id", "embedding"), "id"), "randomized")
         for r in range(repetitions):
             own = parts.filter(F.col("repeticao") == r)
-            out = out.unionByName(_labelled(test(own, seed + r + 1), own, "randomized", r))
+            out = out.unionByName(named(own, seed + r + 1, "randomized", r))
     return out
 
 
@@ -324,6 +334,13 @@ def semantic_distances(rows: DataFrame, seed: int = 2026) -> DataFrame:
     return consecutive_cosine(means).union(cumulative_cosine(means, _width(rows))).union(named)
 
 
+def semantic_drift(rows: DataFrame, windows: DataFrame, repetitions: int = 5, seed: int = 2026, unit: str = "month") -> DataFrame:
+    """The distances of neighbouring windows under both conditions: ``metrica, janela_a, janela_b, condicao,
+    repeticao, valor``. Fewer than two windows are an error."""
+    found = _conditions(rows, windows, repetitions, seed, semantic_distances, unit, labelled=True)
+    return found.select("metrica", "janela_a", "janela_b", "condicao", "repeticao", "valor")
+
+
 def p_value_table(results: DataFrame) -> DataFrame:
     """Count, mean, deviation (0 of one) and exact quartiles of the p values by scope, granularity, test and condition."""
     q = F.percentile("p_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -93,6 +93,11 @@ def statistical_drift(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(D.statistical_drift(rows, D.monthly_windows(rows), 2))
 
 
+def semantic_drift(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut(_vectors(spark, folder), "vectors")
+    return rounded(D.semantic_drift(rows, D.monthly_windows(rows)), 6)
+
+
 QUERIES = {
     "folds_rolling": lambda s, d: S.rolling_folds(_dated(s, d)),
     "folds_kfold": lambda s, d: S.stratified_folds(_dated(s, d).select("id", F.col("category").alias("y"))),
@@ -124,7 +129,7 @@ QUERIES = {
     "mmd2": lambda s, d: rounded(D.kernel_tests(_windowed(s, d), permutations=1).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor"))),
     "todos_os_testes": lambda s, d: rounded(D.all_tests(_windowed(s, d))),
     "drift_estatistico": statistical_drift,
-    "drift_semantico": lambda s, d: rounded(D.semantic_distances(_windowed(s, d)), 6),
+    "drift_semantico": semantic_drift,
     "pontos_de_mudanca": lambda s, d: rounded(D.change_points(D.daily_centroids(_vectors(s, d)))),
     "corrida_principal": main_runs,
     "par_idx": lambda s, d: D.pair_index(_results(s, d)).drop("granularidade"),
