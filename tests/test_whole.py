@@ -85,3 +85,10 @@ def test_semantic_drift_runs_all_conditions(spark, folder):
         sizes.setdefault((r.condicao, r.repeticao), []).append(r.metrica)
     assert all({m: own.count(m) for m in own} == {m: len(own) // 3 for m in ("cosine_centroid", "cumulative_cosine", "mmd2")} for own in sizes.values())
     assert len({len(own) for own in sizes.values()}) == 1
+
+
+def test_random_windows_and_statistical_drift_have_five_repetitions(spark, folder):
+    parts = evaluation.QUERIES["particoes_aleatorias"](spark, folder).select("repeticao").distinct().collect()
+    assert {r.repeticao for r in parts} == set(range(5))
+    out = evaluation.QUERIES["drift_estatistico"](spark, folder).groupBy("condicao", "repeticao").count().collect()
+    assert {(r.condicao, r.repeticao) for r in out} == SIX and len({r["count"] for r in out}) == 1

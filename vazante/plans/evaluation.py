@@ -60,7 +60,7 @@ def _scope(name: str):
 
 def random_parts(spark: SparkSession, folder: str) -> DataFrame:
     rows = _dated(spark, folder)
-    return D.random_windows(rows.select("id"), D.monthly_windows(rows), 2)
+    return D.random_windows(rows.select("id"), D.monthly_windows(rows))
 
 
 def _means(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _some(where: str):
 
 def statistical_drift(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut(_vectors(spark, folder), "vectors")
-    return rounded(D.statistical_drift(rows, D.monthly_windows(rows), 2))
+    return rounded(D.statistical_drift(rows, D.monthly_windows(rows)))
 
 
 def semantic_drift(spark: SparkSession, folder: str) -> DataFrame:
