@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vazante.operators import duplicates as U
-from vazante.operators import splits
-from vazante.plans import evaluation
+from vazante.operators import models, splits
+from vazante.plans import evaluation, learning
 
 DAY = datetime.date
 
@@ -92,3 +92,19 @@ def test_random_windows_and_statistical_drift_have_five_repetitions(spark, folde
     assert {r.repeticao for r in parts} == set(range(5))
     out = evaluation.QUERIES["drift_estatistico"](spark, folder).groupBy("condicao", "repeticao").count().collect()
     assert {(r.condicao, r.repeticao) for r in out} == SIX and len({r["count"] for r in out}) == 1
+
+
+def test_predictions_cover_all_folds_with_the_default_vocabulary(spark, folder, monkeypatch):
+    used, train = [], models.train
+    monkeypatch.setattr(learning.M, "train", lambda docs, config: used.append(config) or train(docs, config))
+    got = learning.QUERIES["logreg_predicoes"](spark, folder)
+    assert {r.fold for r in got.select("fold").distinct().collect()} == set(range(5))
+    assert used == [models.Config("logreg")] * 5 and used[0].vocabulary == 100_000
+
+
+def test_grid_covers_both_families_and_all_folds(spark, folder, monkeypatch):
+    used = []
+    monkeypatch.setattr(learning.M, "search", lambda a, b, positive, config: used.append(config) or ([(c, w, 0, 0, 0, 0.0) for c, w in models.GRID], 0))
+    got = learning.QUERIES["busca_hp"](spark, folder).collect()
+    assert len(got) == 2 * 5 * len(models.GRID) and {(r.familia, r.fold) for r in got} == set(itertools.product(("logreg", "svm"), range(5)))
+    assert {c.vocabulary for c in used} == {100_000}

@@ -12,32 +12,39 @@ from ..session import cut
 from ..streaming import series
 from .base import LAST_MONTH, articles, rounded
 
-CONFIG = {family: M.Config(family, vocabulary=20_000) for family in ("logreg", "svm")}
+FAMILIES = ("logreg", "svm")
+FOLDS = 5
 
 
-def _fold(spark: SparkSession, folder: str) -> DataFrame:
-    """The first rolling fold of the five-class rollup: ``id, text, y, papel``."""
+def _folds(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Each rolling fold of the five-class rollup: ``id, text, y, papel``."""
     rows = articles(spark, folder).filter(F.col("category").isin(*FIVE) & (F.col("day") >= "2015-01-01") & (F.col("day") < LAST_MONTH) & F.col("text").isNotNull())
-    rows = rows.select(F.col("article_id").alias("id"), "day", "text", F.col("category").alias("y"))
-    folds = S.rolling_folds(rows, check=False).filter("fold = 0").select("id", "papel")
-    return cut(rows.join(folds, "id").select("id", "text", "y", "papel"), "fold")
+    rows = cut(rows.select(F.col("article_id").alias("id"), "day", "text", F.col("category").alias("y")), "five-classes")
+    folds = cut(S.rolling_folds(rows, FOLDS), "folds")
+    return [rows.join(folds.filter(F.col("fold") == k).select("id", "papel"), "id").select("id", "text", "y", "papel") for k in range(FOLDS)]
 
 
 def _predictions(family: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        rows = _fold(spark, folder)
-        model = M.train(rows.filter("papel <> 'teste'"), CONFIG[family])
-        out = model.predict(rows.filter("papel = 'teste'").select("id", "text", "y"))
-        return rounded(out.select("id", "y", "y_pred", F.try_element_at("scores", F.lit(POSITIVE)).alias("score_mercado")), 6)
+        found = None
+        for k, rows in enumerate(_folds(spark, folder)):
+            model = M.train(rows.filter("papel <> 'teste'"), M.Config(family))
+            out = model.predict(rows.filter("papel = 'teste'").select("id", "text", "y"))
+            out = out.select(F.lit(k).alias("fold"), "id", "y", "y_pred", F.try_element_at("scores", F.lit(POSITIVE)).alias("score_mercado"))
+            found = out if found is None else found.union(out)
+        return rounded(found, 6)
 
     return query
 
 
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _fold(spark, folder)
-    tried, best = M.search(rows.filter("papel = 'treino_interno'"), rows.filter("papel = 'validacao_interna'"), POSITIVE, CONFIG["logreg"])
-    out = [(k, *row, k == best) for k, row in enumerate(tried)]
-    return spark.createDataFrame(out, "config int, c double, balanced boolean, tp long, fp long, fn long, f1 double, escolhida boolean")
+    """Both families' grids on the inner split of every fold, and the choice of each."""
+    out = []
+    for fold, rows in enumerate(_folds(spark, folder)):
+        for family in FAMILIES:
+            tried, best = M.search(rows.filter("papel = 'treino_interno'"), rows.filter("papel = 'validacao_interna'"), POSITIVE, M.Config(family))
+            out += [(fold, family, k, *row, k == best) for k, row in enumerate(tried)]
+    return spark.createDataFrame(out, "fold int, familia string, config int, c double, balanced boolean, tp long, fp long, fn long, f1 double, escolhida boolean")
 
 
 class KeywordStub:
