@@ -4,9 +4,10 @@ import datetime
 import itertools
 import random
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
+from vazante.operators import drift as D
 from vazante.operators import duplicates as U
 from vazante.operators import models, splits
 from vazante.plans import evaluation, learning
@@ -108,3 +109,26 @@ def test_grid_covers_both_families_and_all_folds(spark, folder, monkeypatch):
     got = learning.QUERIES["busca_hp"](spark, folder).collect()
     assert len(got) == 2 * 5 * len(models.GRID) and {(r.familia, r.fold) for r in got} == set(itertools.product(("logreg", "svm"), range(5)))
     assert {c.vocabulary for c in used} == {100_000}
+
+
+def test_kernel_tests_see_a_change_between_small_windows(spark):
+    """Two windows of 60 rows of other spreads beside one of 3000 far wider: the exact Gram statistic sees it, so
+    must both tests; between 20 small windows of equal spread p is even."""
+    rng = np.random.default_rng(4)
+    data = [rng.normal(0, spread, (n, 4)) for n, spread in ((3000, 30), (60, 0.5), *[(60, 1.0)] * 20)]
+    rows = [(k, w, f"w{w}", [float(v) for v in x]) for k, (w, x) in enumerate((w, x) for w, own in enumerate(data) for x in own)]
+    got = {(r.par, r.teste): r.p_value for r in D.kernel_tests(spark.createDataFrame(rows, "id long, janela_idx int, rotulo string, embedding array<double>")).collect()}
+
+    def exact(a, b):
+        x = np.concatenate([a, b])
+        gaps = ((x[:, None] - x[None]) ** 2).sum(-1)
+        gram = np.exp(-gaps / (2 * np.median(gaps[np.triu_indices(len(x), 1)])))
+        signs = np.repeat([1 / len(a), -1 / len(b)], [len(a), len(b)])
+        real = signs @ gram @ signs
+        return np.mean([s @ gram @ s >= real for s in (rng.permutation(signs) for _ in range(200))])
+
+    assert exact(data[1], data[2]) < 0.03 and got[1, "KTS"] < 0.05 and got[1, "LSDD"] < 0.05
+    assert max(got[0, "KTS"], got[0, "LSDD"]) < 0.05
+    for test in ("KTS", "LSDD"):
+        same = sorted(got[k, test] for k in range(2, 21))
+        assert 0.25 < same[9] < 0.75 and same[3] > 0.05

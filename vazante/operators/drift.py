@@ -216,6 +216,31 @@ def combined(statistics: DataFrame, test: str) -> DataFrame:
     return statistics.groupBy("par").applyInPandas(run, "par int, teste string, p_value double, estatistica double")
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to those of ``y``."""
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
+
+
+def _kernel_bases(sided: DataFrame, seed: str, centres: int, sample: int) -> dict[int, tuple[float, np.ndarray]]:
+    """Bandwidth and centres of each pair of windows, from its rows with the least keys on whichever side.
+
+    The side must not count: permuted sides are compared with the true ones. The rank filter is applied
+    within each task before the shuffle.
+    """
+    keyed = sided.select("par", "id", "embedding", random_key(F.col("id"), seed).alias("key"))
+    place = F.row_number().over(W.partitionBy("par").orderBy("key", "id"))
+    drawn = keyed.withColumn("place", place).filter(F.col("place") <= sample)
+
+    def base(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values("place")["embedding"].tolist(), float)
+        gaps = _squares(x, x)[np.triu_indices(len(x), 1)]
+        sigma = max(float(np.sqrt(np.median(gaps))), 1e-9) if len(gaps) else 1.0
+        return pd.DataFrame([(pdf["par"].iloc[0], sigma, x[:centres].tobytes(), x.shape[1])], columns=["par", "sigma", "middle", "width"])
+
+    found = drawn.groupBy("par").applyInPandas(base, "par int, sigma double, middle binary, width int").limit(100_000).collect()  # a row a pair of windows
+    return {r["par"]: (r["sigma"], np.frombuffer(r["middle"], float).reshape(-1, r["width"])) for r in found}
+
+
 def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, features: int = 256, centres: int = 64, sample: int = 512) -> DataFrame:
     """``par, teste, p_value, estatistica`` of the kernel two-sample test (KTS) and the least-squares density
     difference (LSDD) of neighbouring windows, with permutation p values.
@@ -223,18 +248,17 @@ def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, fea
     Both depend on the rows through mean feature vectors only: random Fourier features of a Gaussian kernel
     for KTS (their squared distance estimates the squared maximum mean discrepancy), kernel values at a few
     centres for LSDD. A task adds up the features of its rows under the true and under randomly redrawn
-    sides; the sums are merged by pair. The bandwidth (median distance) and the centres come from a bounded
-    sample of ``sample`` rows with the least random keys; the tests cover all rows.
+    sides; the sums are merged by pair. The bandwidth (median distance) and the centres are those of each pair of
+    windows: of its ``sample`` rows with the least random keys, whichever their side, or of all its rows if
+    they are fewer. The tests cover all rows.
     """
     width = _width(rows)
-    drawn = rows.filter("embedding is not null").select("id", "embedding", random_key(F.col("id"), f"{seed}").alias("key")).orderBy("key", "id").limit(sample).collect()
-    base = np.array([r["embedding"] for r in drawn], float)
-    if len(base) < 2:
+    sided = pair_rows(rows).select("par", "lado", "id", "embedding")
+    bases = _kernel_bases(sided, f"{seed}", centres, sample)
+    if not bases:
         return rows.sparkSession.createDataFrame([], "par int, teste string, p_value double, estatistica double")
-    gaps = ((base[:, None] - base[None]) ** 2).sum(-1)
-    sigma = max(float(np.sqrt(np.median(gaps[np.triu_indices(len(base), 1)]))), 1e-9)
     rng = np.random.default_rng(seed)
-    slopes, shifts, middle = rng.normal(0, 1 / sigma, (width, features)), rng.uniform(0, 2 * np.pi, features), base[:centres]
+    slopes, shifts = rng.normal(0, 1, (width, features)), rng.uniform(0, 2 * np.pi, features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -242,19 +266,20 @@ def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, fea
             if not batch.num_rows:
                 continue
             par, side, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            x = np.array(batch.column(3).to_pylist(), float)
-            near = np.exp(-((x[:, None] - middle[None]) ** 2).sum(-1) / (2 * sigma**2))
-            phi = np.concatenate([np.sqrt(2 / features) * np.cos(x @ slopes + shifts), near, np.ones((len(x), 1))], axis=1)
+            vectors = np.array(batch.column(3).to_pylist(), float)
             for p in np.unique(par):
                 at = par == p
-                share = shares[int(p)]
+                x, share, (sigma, middle) = vectors[at], shares[int(p)], bases[int(p)]
+                near = np.exp(-_squares(x, middle) / (2 * sigma**2))
+                phi = np.concatenate([np.sqrt(2 / features) * np.cos(x @ slopes / sigma + shifts), near, np.ones((len(x), 1))], axis=1)
                 draws = np.random.default_rng([seed, int(p), zlib.crc32(str(ids[at][0]).encode()), int(at.sum())]).random((permutations, at.sum())) < share
                 later = np.concatenate([side[None, at] == 1, draws]).astype(float)
-                both = np.stack([later @ phi[at], (1 - later) @ phi[at]])
+                both = np.stack([later @ phi, (1 - later) @ phi])
                 sums[int(p)] = sums.get(int(p), 0) + both
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["par", "sums"])
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigma, middle = bases[int(pdf["par"].iloc[0])]
         shape = (2, permutations + 1, features + len(middle) + 1)
         total = np.zeros(shape)
         for data in pdf["sums"]:
@@ -263,13 +288,12 @@ def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, fea
         gap = means[0] - means[1]
         mmd = (gap[:, :features] ** 2).sum(1)
         h = gap[:, features:]
-        square = np.exp(-((middle[:, None] - middle[None]) ** 2).sum(-1) / (4 * sigma**2))
+        square = np.exp(-_squares(middle, middle) / (4 * sigma**2))
         theta = np.linalg.solve(square + 0.1 * np.eye(len(middle)), h.T).T
         lsdd = 2 * (theta * h).sum(1) - ((theta @ square) * theta).sum(1)
         out = [(pdf["par"].iloc[0], name, float((v[1:] >= v[0]).mean()), float(v[0])) for name, v in (("KTS", mmd), ("LSDD", lsdd))]
         return pd.DataFrame(out, columns=["par", "teste", "p_value", "estatistica"])
 
-    sided = pair_rows(rows).select("par", "lado", "id", "embedding")
     sizes = sided.groupBy("par").agg(F.avg("lado").alias("share")).limit(100_000).collect()  # a row a pair of windows
     shares = {r["par"]: r["share"] for r in sizes}
     parts = cut(sided.mapInArrow(run, "par int, sums binary"), "kernel-sums")
