@@ -27,7 +27,7 @@ to anything: they are in no pair and form a class of their own in the groups.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,7 @@ FINGERPRINT = (
 )
 ENTRY = "node long, c1 long, sk long"
 SEEN_LIMIT = 1_000_000
+MOST_RUNS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,20 @@ class JoinSettings:
         met = t**depth * (1 - lost)
         return max(4, math.ceil(math.log(1 - self.target_recall) / math.log(1 - met)))
 
+    def least_runs(self, depth: int, kept: Callable[[int], float] = lambda k: 1.0) -> int:
+        """Fewest runs that meet a pair at the threshold with the target recall, averaged over the number ``k`` of
+        its agreeing coordinates. All runs draw from the same signature, so they are independent only given ``k``.
+        """
+        every, t = sketch.COORDS, self.threshold
+        odds = [(math.comb(every, k) * t**k * (1 - t) ** (every - k), math.comb(k, depth) / math.comb(every, depth) * kept(k)) for k in range(every + 1)]
+        missed = lambda runs: sum(p * (1 - met) ** runs for p, met in odds)
+        high = 1
+        while missed(high) > 1 - self.target_recall:
+            high *= 2
+            if high > MOST_RUNS:
+                raise ValueError("the target recall takes too many runs")
+        return next(r for r in range(high // 2, high + 1) if missed(r) <= 1 - self.target_recall)
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)

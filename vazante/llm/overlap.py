@@ -12,7 +12,6 @@ fewest words have no overlap. A row in several periods counts in each.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +53,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame, settings: JoinSettings = J
     prints_e, classes_e = _side(evaluation, settings, "evaluation")
     sets_t, sets_e = (p.filter("sig is not null") for p in (prints_t, prints_e))
     depth = max(2, settings.depth(max(sets_t.count(), sets_e.count())))
-    runs = math.ceil(math.log(1 - settings.target_recall) / math.log(1 - settings.threshold**depth))
+    runs = settings.least_runs(depth)
     hashes_t = chosen_path.first_nodes(sets_t, depth, runs).withColumnsRenamed({"c1": "c1_t", "sk": "sk_t"})
     hashes_e = chosen_path.first_nodes(sets_e, depth, runs).withColumnsRenamed({"c1": "c1_e", "sk": "sk_e"})
     near = F.bit_count(F.col("sk_t").bitwiseXOR(F.col("sk_e"))) <= chosen_path.bit_bound(settings.threshold)
