@@ -139,7 +139,7 @@ def test_kernel_tests_see_a_change_between_small_windows(spark):
 def test_runs_reach_the_recall_of_shared_coordinates(depth):
     """Simulated signatures of pairs exactly at the threshold, all runs drawn from the same 64 coordinates."""
     s, rng = JoinSettings(), np.random.default_rng(depth)
-    for runs, level in ((s.least_runs(depth), 0),):
+    for runs, level in ((s.least_runs(depth), 0), (s.runs(depth), s.more_levels)):
         agree = rng.random((100_000, 64)) < s.threshold
         k = agree.sum(1)
         met = np.ones(len(k))

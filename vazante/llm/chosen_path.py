@@ -71,14 +71,18 @@ class JoinSettings:
         return max(1, int(math.log(max(sets / self.small, 2)) / math.log(1 / self.background)))
 
     def runs(self, depth: int) -> int:
-        """Runs for the target recall: a pair meets in one with probability t^depth, times the
-        probability that two fresh coordinates a level never part it for good."""
-        t = self.threshold
-        lost = 0.0
-        for _ in range(50):
-            lost = (1 - t + t * lost) ** 2
-        met = t**depth * (1 - lost)
-        return max(4, math.ceil(math.log(1 - self.target_recall) / math.log(1 - met)))
+        """Runs for the target recall when nodes stay large and split on: a pair whose signatures agree in ``k``
+        coordinates meets in one with the probability that all of a path agree, times the probability that
+        two fresh coordinates a level do not part it for good in ``more_levels`` levels, after which all
+        members of a node are compared."""
+
+        def kept(k: int) -> float:
+            t, lost = k / sketch.COORDS, 0.0
+            for _ in range(self.more_levels):
+                lost = (1 - t + t * lost) ** 2
+            return 1 - lost
+
+        return max(4, self.least_runs(depth, kept))
 
     def least_runs(self, depth: int, kept: Callable[[int], float] = lambda k: 1.0) -> int:
         """Fewest runs that meet a pair at the threshold with the target recall, averaged over the number ``k`` of
