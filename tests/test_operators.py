@@ -247,3 +247,53 @@ def test_text_functions(spark):
     assert [r[0] for r in runs] == [["abcde", "bcdef"], ["abc"], []]
     dates = spark.createDataFrame([("2016-02-29",), ("2016-02-30",), ("x",), (None,)], "d string")
     assert [r[0] for r in dates.select(T.valid_date(F.col("d"))).collect()] == [DAY(2016, 2, 29), None, None, None]
+
+
+def test_buckets_compare_every_pair(spark):
+    """Small and large buckets, repeated entries and sides against all pairs."""
+    import random
+
+    from vazante.operators import buckets
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4 + k % 9]), k % 90, rng.getrandbits(63), k % 2) for k in range(240)]
+    sketch = {(i, s): b for _, i, b, s in rows}
+    rows = [(n, i, sketch[i, s], s) for n, i, b, s in rows]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "node long, item long, sk0 long, side int").repartition(5)
+    for sided in (False, True):
+        use = df if sided else df.drop("side").join(df.groupBy("item").agg(F.min("sk0").alias("x")), "item").selectExpr("node", "item", "x as sk0")
+        at: dict = {}
+        for r in use.collect():
+            at.setdefault(r.node, set()).add((r.item, r.sk0, r.side if sided else None))
+        want = set()
+        for members in at.values():
+            for x in members:
+                for y in members:
+                    if (x[2] == 0 and y[2] == 1) if sided else x[0] < y[0]:
+                        if bin(x[1] ^ y[1]).count("1") <= 30:
+                            want.add((x[0], y[0]))
+        done = buckets.compare(use, 30, 12).cache()
+        large = done.filter("large").selectExpr("a as node", "b as item", "side")
+        large = large.join(use.distinct(), ["node", "item", "side"] if sided else ["node", "item"]).select("node", "item", "sk0", *(["side"] if sided else [])).distinct()
+        assert large.count() and done.filter("not large").count()
+        got = {tuple(r) for r in done.filter("not large").select("a", "b").union(buckets.compare_blocks(large, 30, 4)).collect()}
+        assert got == want
+
+
+def test_near_pairs_of_a_large_family(spark, monkeypatch):
+    """A bucket of many different texts, compared in blocks, loses no pair; copies stay one class."""
+    import random
+
+    from vazante.operators import duplicates as D
+
+    rng = random.Random(1)
+    base = "".join(rng.choices("abcdefghij klm", k=900))
+    texts = [base[: 10 * k] + f"#{k}#" + base[10 * k :] for k in range(70)] + [base] * 30 + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    whole = {tuple(r) for r in D.near_pairs(docs).pairs.collect()}
+    monkeypatch.setattr(D, "SMALL", 5)
+    monkeypatch.setattr(D.buckets, "BLOCK", 8)
+    found = D.near_pairs(docs)
+    assert {tuple(r) for r in found.pairs.collect()} == whole and len(whole) > 70 * 69 // 3
+    assert found.members.filter("rep = 70").count() == 30

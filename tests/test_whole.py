@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 
-from vazante.llm.chosen_path import JoinSettings
 from vazante.operators import drift as D
 from vazante.operators import duplicates as U
 from vazante.operators import models, splits
@@ -133,19 +132,3 @@ def test_kernel_tests_see_a_change_between_small_windows(spark):
     for test in ("KTS", "LSDD"):
         same = sorted(got[k, test] for k in range(2, 21))
         assert 0.25 < same[9] < 0.75 and same[3] > 0.05
-
-
-@pytest.mark.parametrize("depth", [2, 3, 4, 5])
-def test_runs_reach_the_recall_of_shared_coordinates(depth):
-    """Simulated signatures of pairs exactly at the threshold, all runs drawn from the same 64 coordinates."""
-    s, rng = JoinSettings(), np.random.default_rng(depth)
-    for runs, level in ((s.least_runs(depth), 0), (s.runs(depth), s.more_levels)):
-        agree = rng.random((100_000, 64)) < s.threshold
-        k = agree.sum(1)
-        met = np.ones(len(k))
-        for place in range(depth):
-            met *= (k - place) / (64 - place)
-        lost = np.zeros(len(k))
-        for _ in range(level):
-            lost = (1 - k / 64 + k / 64 * lost) ** 2
-        assert ((1 - met * (1 - lost)) ** runs).mean() < 0.0012

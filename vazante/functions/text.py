@@ -33,6 +33,12 @@ def category_name(column: Column) -> Column:
     return _folded(column.cast("string"))
 
 
+def plain_text(value: str) -> str:
+    """Lower-cased and decomposed (NFKD), combining marks dropped."""
+    low = value.lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+
+
 def valid_date(column: Column) -> Column:
     """The date of a ``yyyy-MM-dd`` text that names a real day, else null; never throws."""
     return F.when(column.rlike(f"\\A{CALENDAR_DAY}\\z"), F.try_to_date(column, "yyyy-MM-dd"))

@@ -23,7 +23,7 @@ from .corpus import numbered
 from .sampling import random_key
 
 WINDOW = ("janela_idx", "rotulo")
-LABELLED = "janela_idx int, rotulo string"
+MOST_PAIRS = 100_000  # of windows; more are an error
 
 
 def in_period(rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -100,16 +100,15 @@ def random_windows(rows: DataFrame, windows: DataFrame, repetitions: int = 5, se
     A row's place in the random order of a repetition falls into one of the windows' ranges.
     """
     sizes = windows.select("janela_idx", "n", (F.sum("n").over(W.partitionBy().orderBy("janela_idx")) - F.col("n")).alias("first"))
-    ranges = [(r["janela_idx"], r["first"], r["n"]) for r in sizes.orderBy("janela_idx").limit(100_000).collect()]
-    total = sum(n for _, _, n in ranges)
+    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if total > rows.count():
         raise ValueError("windows hold more rows than there are")
-    starts = F.array(*(F.lit(int(f)) for _, f, _ in ranges))
+    starts = sizes.filter("n > 0").agg(F.sort_array(F.collect_list(F.struct(F.col("first"), "janela_idx"))).alias("starts"))
     out = None
     for r in range(repetitions):
         keyed = rows.select("id", random_key(F.col("id"), f"{seed + r}:").alias("key"))
-        placed = numbered(keyed, [F.col("key").asc(), F.col("id").asc()], "place").filter(F.col("place") < total)
-        index = F.size(F.filter(starts, lambda s: s <= F.col("place"))) - 1
+        placed = numbered(keyed, [F.col("key").asc(), F.col("id").asc()], "place").filter(F.col("place") < total).join(F.broadcast(starts))
+        index = F.element_at(F.filter("starts", lambda s: s["first"] <= F.col("place")), -1)["janela_idx"]
         part = placed.select(F.lit(r).alias("repeticao"), "id", index.alias("janela_idx"), F.format_string("rand_%03d", index).alias("rotulo"))
         out = part if out is None else out.union(part)
     return out
@@ -237,7 +236,9 @@ def _kernel_bases(sided: DataFrame, seed: str, centres: int, sample: int) -> dic
         sigma = max(float(np.sqrt(np.median(gaps))), 1e-9) if len(gaps) else 1.0
         return pd.DataFrame([(pdf["par"].iloc[0], sigma, x[:centres].tobytes(), x.shape[1])], columns=["par", "sigma", "middle", "width"])
 
-    found = drawn.groupBy("par").applyInPandas(base, "par int, sigma double, middle binary, width int").limit(100_000).collect()  # a row a pair of windows
+    found = drawn.groupBy("par").applyInPandas(base, "par int, sigma double, middle binary, width int").limit(MOST_PAIRS + 1).collect()  # a row a pair of windows
+    if len(found) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of windows")
     return {r["par"]: (r["sigma"], np.frombuffer(r["middle"], float).reshape(-1, r["width"])) for r in found}
 
 
@@ -294,7 +295,7 @@ def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, fea
         out = [(pdf["par"].iloc[0], name, float((v[1:] >= v[0]).mean()), float(v[0])) for name, v in (("KTS", mmd), ("LSDD", lsdd))]
         return pd.DataFrame(out, columns=["par", "teste", "p_value", "estatistica"])
 
-    sizes = sided.groupBy("par").agg(F.avg("lado").alias("share")).limit(100_000).collect()  # a row a pair of windows
+    sizes = sided.groupBy("par").agg(F.avg("lado").alias("share")).limit(MOST_PAIRS + 1).collect()  # as many as bases
     shares = {r["par"]: r["share"] for r in sizes}
     parts = cut(sided.mapInArrow(run, "par int, sums binary"), "kernel-sums")
     return parts.groupBy("par").applyInPandas(test, "par int, teste string, p_value double, estatistica double")

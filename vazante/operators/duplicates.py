@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.minhash import signatures
+from ..functions.minhash import banded, signatures
 from ..functions.text import shortened, squeezed
 from ..session import cut
+from . import buckets
 from .graph import connected_components
 
+SMALL = 256  # members up to which a bucket of equal bands is compared in one piece
+
 
 def digest(column: str) -> Column:
     """A 256-bit key of a value, so that long texts are not shuffled to be compared."""
@@ -80,16 +84,24 @@ def near_pairs(texts: DataFrame, threshold: float = 0.85, coordinates: int = 128
     """Pairs of ``texts(id, text)`` whose MinHash signatures agree in at least ``threshold`` of the coordinates.
 
     Texts that are equal once squeezed form a class; only its representative (least id) is banded and
-    joined, so copies don't fill a bucket. Null and blank texts are in no pair and no class.
+    joined, so copies don't fill a bucket. A bucket of many different texts is compared block by block.
+    Null and blank texts are in no pair and no class.
     """
     rows = texts.select(F.col("id").cast("long"), squeezed(F.col("text")).alias("text")).filter("text <> ''")
-    keyed = cut(rows.select("id", F.sha2("text", 256).alias("digest"), "text"), "squeezed")
-    reps = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = cut(keyed.select("id", "digest").join(reps, "digest").select("id", "rep"), "near-members")
-    own = keyed.join(members.filter("id = rep").select("id"), "id").select("id", "text")
-    sigs = cut(signatures(own, coordinates, width, bands), "signatures")
-    keys = sigs.select("id", F.explode("bands").alias("key"))
-    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    prints = cut(signatures(rows, coordinates, width), "prints")
+    classes = cut(prints.groupBy("digest").agg(F.min("id").alias("id"), F.max("sig").alias("sig")), "signatures")
+    members = cut(prints.select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep"), "near-members")
+    most = coordinates - math.ceil(threshold * coordinates)  # bits in which a pair that agrees enough may differ
+    marked = cut(banded(classes, bands), "bands")
+    entries = marked.select(F.explode("bands").alias("node"), F.col("id").alias("item"), "sk0", "sk1")
+    small = cut(buckets.compare(entries, most, SMALL), "band-buckets")
+    met = small.filter("not large").select("a", "b")
+    large = small.filter("large").select(F.col("a").alias("node"), F.col("b").alias("item"))
+    if not large.isEmpty():
+        own = marked.select(F.col("id").alias("item"), "sk0", "sk1")
+        met = met.union(cut(buckets.compare_blocks(large.join(own, "item"), most), "band-blocks"))
+    met = met.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    sigs = classes.select("id", "sig")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

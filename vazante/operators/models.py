@@ -1,25 +1,29 @@
-"""Text classifiers on Spark ML, their grid search on a fixed split, and hooks for outside models.
+"""Text classifiers, their grid search on a fixed split, and hooks for outside models.
 
-Features are weighted counts of words and word pairs (inverse document frequency, unit length). Both
-families are trained one against the rest, so every class has a score: probabilities for logistic
-regression, margins for the linear support vector machine.
+Features are words and word pairs: counted by logarithm, weighed by the inverse of their document frequency and
+scaled to unit length. Both families are trained one against the rest, so every class has a score: probabilities
+for logistic regression, margins for the linear support vector machine.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, SQLTransformer, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_class, first_words, rendered, tokens
+from ..functions.text import first_class, first_words, plain_text, rendered, title_and_text
 from ..session import cut
+from . import linear
+
+WORD = re.compile(r"\w\w+")
+TABLE_LIMIT = 400_000
 
 
 @dataclass(frozen=True)
@@ -31,89 +35,195 @@ class Config:
     balanced: bool = False
     vocabulary: int = 100_000
     min_df: int = 5
-    iterations: int = 20
+    iterations: int = 30
 
 
 GRID = tuple((c, balanced) for c in (0.1, 1.0, 10.0) for balanced in (False, True))
+MOST_CLASSES = 1_000
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """``docs(text)`` with a column ``words``; null texts have none."""
-    return docs.withColumn("words", tokens(F.col("text"), drop_stop_words=False))
+def entry_text(docs: DataFrame) -> Column:
+    """What a classifier reads of a document: title and text, or the text alone; never null."""
+    return title_and_text(F.col("title"), F.col("text")) if "title" in docs.columns else F.coalesce("text", F.lit(""))
 
 
-def featurizer(config: Config) -> Pipeline:
-    """Words and word pairs, counted, weighed and scaled into ``features``."""
-    return Pipeline(stages=[
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=config.vocabulary, minDF=float(config.min_df)),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-    ])
+def terms_of(text: str) -> list[str]:
+    """Words of at least two letters or numbers, without accents, and pairs of neighbours."""
+    words = WORD.findall(plain_text(text))
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+@dataclass(frozen=True)
+class Features:
+    """Terms in order of their column, and their weights."""
+
+    terms: list[str]
+    weights: np.ndarray
+
+    def of(self, docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep``, ``indices array<int>, data array<float>`` of ``docs``: a vector of unit length, or empty."""
+        sent = docs.sparkSession.sparkContext.broadcast(({t: k for k, t in enumerate(self.terms)}, self.weights))
+        shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, weights = sent.value
+            for batch in batches:
+                vectors = []
+                for text in batch.column(0).to_pylist():
+                    counts = Counter(filter(None.__ne__, map(place.get, terms_of(text))))
+                    index = np.array(sorted(counts), np.int32)
+                    data = (1 + np.log([counts[k] for k in index.tolist()])) * weights[index] if len(index) else np.zeros(0)
+                    vectors.append((index, (data / (np.sqrt((data**2).sum()) or 1)).astype(np.float32)))
+                columns = [pa.array([v[k] for v in vectors], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k + 1) for k in range(len(keep))), *columns], [*keep, "indices", "data"])
+
+        return docs.select(entry_text(docs).alias("__entry"), *keep).mapInArrow(run, (shape + ", " if keep else "") + "indices array<int>, data array<float>")
+
+
+def fit_features(docs: DataFrame, config: Config = Config()) -> Features:
+    """The ``vocabulary`` most frequent terms (ties alphabetically) of at least ``min_df`` documents ``docs([title,] text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, where, number = Counter(), Counter(), 0
+
+        def given() -> pa.RecordBatch:
+            terms = list(total)
+            columns = [pa.array([None, *terms], pa.string()), pa.array([0, *(total[t] for t in terms)], pa.int64()), pa.array([number, *(where[t] for t in terms)], pa.int64())]
+            total.clear()
+            where.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "n", "df"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                terms = terms_of(text)
+                number += 1
+                total.update(terms)
+                where.update(set(terms))
+                if len(total) > TABLE_LIMIT:
+                    yield given()
+                    number = 0
+        yield given()
+
+    counts = docs.select(entry_text(docs)).mapInArrow(run, "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    counts = cut(counts, "vocabulary")
+    number = counts.filter("term is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    kept = counts.filter(F.col("term").isNotNull() & (F.col("df") >= config.min_df)).orderBy(F.desc("n"), "term").limit(config.vocabulary).collect()
+    return Features([r["term"] for r in kept], 1 + np.log((1 + number) / (1 + np.array([r["df"] for r in kept], float))))
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """A fitted pipeline and its classes in the order of the scores."""
+    """Features (None if rows come with theirs), classes in the order of the scores, and weights of each."""
 
-    features: PipelineModel
-    model: object
+    features: Features | None
+    weights: np.ndarray
     classes: list[str]
     family: str
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``y_pred`` and a map ``scores`` of every class."""
-        return self.scored(self.features.transform(with_words(docs)), docs.columns)
-
-    def scored(self, featured: DataFrame, columns: list[str]) -> DataFrame:
-        """The same from rows that have their ``features``; logistic margins become shares that add up to 1."""
-        out = self.model.transform(featured)
-        raw = vector_to_array("rawPrediction")
-        if self.family == "logreg":
-            raw = F.transform(raw, lambda x: 1 / (1 + F.exp(-x)))
-            raw = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda s, y: s + y))
-        names = IndexToString(inputCol="prediction", outputCol="y_pred", labels=self.classes).transform(out)
-        scores = F.map_from_arrays(F.array(*map(F.lit, self.classes)), raw)
-        return names.withColumn("scores", scores).select(*columns, "y_pred", "scores")
+        return self.scored(self.features.of(docs, docs.columns), docs.columns)
+
+    def scored(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """The same from rows that have their vector; logistic margins become shares that add up to 1."""
+        sent = rows.sparkSession.sparkContext.broadcast(self.weights.astype(np.float32))
+        names, logistic = np.array(self.classes, dtype=object), self.family == "logreg"
+        shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", y_pred string, margins array<double>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                parts = [linear.margins(row, index, data, at.stop - at.start, sent.value) for at, row, index, data in linear.slices(batch, 0)]
+                m = np.concatenate(parts).astype(float)
+                m = np.concatenate([-m, m], axis=1) if m.shape[1] < len(names) else m
+                best = names[m.argmax(1)]
+                if logistic:
+                    m = 1 / (1 + np.exp(-m))
+                    m /= m.sum(1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k + 2) for k in range(len(columns))), pa.array(best, pa.string()), pa.array(list(m))], [*columns, "y_pred", "margins"])
+
+        out = rows.select("indices", "data", *columns).mapInArrow(run, shape)
+        return out.select(*columns, "y_pred", F.map_from_arrays(F.array(*map(F.lit, self.classes)), F.col("margins")).alias("scores"))
+
+
+def _labelled(rows: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
+    """``label, indices, data`` of rows with ``y``, the classes in order and their sizes."""
+    sizes = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(MOST_CLASSES + 1).collect()
+    if len(sizes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    if len(sizes) < 2:
+        raise ValueError("fewer than two classes")
+    classes = [r["y"] for r in sizes]
+    label = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int") - 1
+    return rows.select(label.alias("label"), "indices", "data"), classes, [r["n"] for r in sizes]
+
+
+def _problems(sizes: list[int], config: Config) -> list[linear.Problem]:
+    """One a class, or one in all (the second against the first) of two classes."""
+    total = sum(sizes)
+    weight = [total / (len(sizes) * n) if config.balanced else 1.0 for n in sizes]
+    loss = {"logreg": "log", "svm": "hinge"}[config.family]
+    if len(sizes) == 2:
+        return [linear.Problem(loss, 1, config.c, weight[1], weight[0])]
+    return [linear.Problem(loss, k, config.c, w) for k, w in enumerate(weight)]
+
+
+def fit_all(rows: DataFrame, features: Features | None, width: int, configs: Sequence[Config]) -> list[Classifier]:
+    """A classifier for each configuration, trained together, on ``rows(y, indices, data)``."""
+    known, classes, sizes = _labelled(rows)
+    problems = [_problems(sizes, c) for c in configs]
+    weights = linear.fit(known, width, [p for own in problems for p in own], max(c.iterations for c in configs))
+    ends = np.cumsum([0, *map(len, problems)])
+    return [Classifier(features, weights[:, a:b], classes, c.family) for a, b, c in zip(ends, ends[1:], configs)]
 
 
 def train(docs: DataFrame, config: Config = Config()) -> Classifier:
-    """Fit on ``docs(text, y)``; rows without class are left out."""
-    known = with_words(docs.filter("y is not null"))
-    features = featurizer(config).fit(known)
-    return _fit(features.transform(known).select("y", "features"), features, config)
-
-
-def _fit(featured: DataFrame, features: PipelineModel, config: Config) -> Classifier:
-    indexer = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(featured)
-    rows = indexer.transform(featured).select("features", "label")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    weight = F.col("total") / (F.col("k") * F.col("n")) if config.balanced else F.lit(1.0)
-    weights = sizes.join(F.broadcast(total)).select("label", weight.alias("weight"))
-    rows = rows.join(F.broadcast(weights), "label")
-    penalty = 1.0 / (config.c * max(1, featured.count()))
-    kind = {"logreg": LogisticRegression, "svm": LinearSVC}[config.family]
-    base = kind(maxIter=config.iterations, regParam=penalty, weightCol="weight")
-    model = OneVsRest(classifier=base, weightCol="weight", rawPredictionCol="rawPrediction", parallelism=4).fit(rows)
-    return Classifier(features, model, list(indexer.labels), config.family)
-
-
-def search(train_docs: DataFrame, valid_docs: DataFrame, positive: str, config: Config = Config(), grid: Sequence[tuple[float, bool]] = GRID) -> tuple[list[tuple], int]:
-    """``(c, balanced, tp, fp, fn, f1)`` of each configuration on the fixed split, and the place of the best
-    (the first among equals). Features are fitted and computed once."""
-    known = with_words(train_docs.filter("y is not null"))
-    features = featurizer(config).fit(known)
-    inner = cut(features.transform(known).select("y", "features"), "inner-train")
-    valid = cut(features.transform(with_words(valid_docs)).select("y", "features"), "inner-valid")
-    rows = []
-    for c, balanced in grid:
-        model = _fit(inner, features, replace(config, c=c, balanced=balanced))
+    """Fit on ``docs([title,] text, y)``; rows without class are left out, fewer than two classes are an error."""
+    known = docs.filter("y is not null")
+    features = fit_features(known, config)
+    return fit_all(cut(features.of(known, ["y"]), "train"), features, len(features.terms), [config])[0]
+
+
+@dataclass(frozen=True)
+class Split:
+    """``y, indices, data`` of both parts of a fixed split, by features fitted on the first."""
+
+    inner: DataFrame
+    valid: DataFrame
+    width: int
+
+
+def featured_split(train_docs: DataFrame, valid_docs: DataFrame, config: Config = Config()) -> Split:
+    known = train_docs.filter("y is not null")
+    features = fit_features(known, config)
+    return Split(cut(features.of(known, ["y"]), "inner-train"), cut(features.of(valid_docs, ["y"]), "inner-valid"), len(features.terms))
+
+
+def search_all(split: Split, positive: str, configs: Sequence[Config]) -> list[tuple]:
+    """``(tp, fp, fn, f1)`` on the second part of each configuration, all trained and judged together."""
+    models = fit_all(split.inner, None, split.width, configs)
+    out = []
+    for k, model in enumerate(models):
         is_pos, said = F.col("y") == positive, F.col("y_pred") == positive
-        tp, fp, fn = model.scored(valid, ["y"]).agg(F.count_if(is_pos & said), F.count_if(~is_pos & said), F.count_if(is_pos & ~said)).first()
-        rows.append((c, balanced, tp, fp, fn, 2 * tp / (2 * tp + fp + fn) if tp else 0.0))
-    return rows, max(range(len(rows)), key=lambda k: (rows[k][-1], -k))
+        counted = model.scored(split.valid, ["y"]).agg(F.count_if(is_pos & said).alias("tp"), F.count_if(~is_pos & said).alias("fp"), F.count_if(is_pos & ~said).alias("fn"))
+        counted = counted.withColumn("k", F.lit(k))
+        out = counted if k == 0 else out.union(counted)
+    found = {r["k"]: (r["tp"], r["fp"], r["fn"]) for r in out.collect()}
+    return [(tp, fp, fn, 2 * tp / (2 * tp + fp + fn) if tp else 0.0) for tp, fp, fn in (found[k] for k in range(len(models)))]
+
+
+def search(train_docs: DataFrame | Split, valid_docs: DataFrame | None, positive: str, config: Config = Config(), grid: Sequence[tuple[float, bool]] = GRID) -> tuple[list[tuple], int]:
+    """``(c, balanced, tp, fp, fn, f1)`` of each configuration on the fixed split, and the place of the best
+    (the first among equals). ``train_docs`` may be a split whose features are there already."""
+    split = train_docs if isinstance(train_docs, Split) else featured_split(train_docs, valid_docs, config)
+    rows = [(*g, *found) for g, found in zip(grid, search_all(split, positive, [replace(config, c=c, balanced=b) for c, b in grid]))]
+    return rows, best_of([r[-1] for r in rows])
+
+
+def best_of(values: Sequence[float]) -> int:
+    """Place of the greatest value, the first among equals."""
+    return max(range(len(values)), key=lambda k: (values[k], -k))
 
 
 def score_batches(docs: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -129,8 +239,9 @@ def score_batches(docs: DataFrame, make: Callable[[], Callable[[pd.DataFrame], p
 
 def zero_shot(docs: DataFrame, classes: list[str], prompt: str, make: Callable[[], Callable[[list[str]], list[str]]], fallback: str, words: int = 1500) -> DataFrame:
     """``id, resposta, y_pred, fora_do_rotulo`` by a text generator: render, generate, parse; ``fallback`` where
-    the answer's first term is no class. ``make`` gives a function from prompts to answers."""
-    asked = docs.select("id", rendered(prompt, first_words(F.coalesce("text", F.lit("")), words)).alias("pergunta"))
+    the answer's first term is no class. ``make`` gives a function from prompts to answers. The prompt gets the
+    first ``words`` words of title and text (of the text alone where ``docs`` has no title)."""
+    asked = docs.select("id", rendered(prompt, first_words(entry_text(docs), words)).alias("pergunta"))
 
     def loaded() -> Callable[[pd.DataFrame], pd.DataFrame]:
         generate = make()

@@ -11,7 +11,7 @@ from ..operators import duplicates as D
 from ..operators import lexical as L
 from ..schemas import ANCHORS, FIVE, POSITIVE
 from ..session import cut
-from .base import ART, articles, rounded
+from .base import ART, COMPONENTS, STRIPPED, WHITE, articles, near_sql, rounded
 
 THRESHOLD = 100  # rows of a frequent class
 SEED = "20260423"
@@ -36,6 +36,12 @@ def near(spark: SparkSession, folder: str) -> D.NearPairs:
     return D.near_pairs(_rows(spark, folder, spread=True))
 
 
+def minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The signature of every distinct squeezed text, at its least id."""
+    sigs = D.signatures(_rows(spark, folder, spread=True).select("id", T.squeezed(F.col("text")).alias("text")))
+    return sigs.groupBy("digest").agg(F.min("id").alias("id"), F.max("sig").alias("sig")).select("id", F.lower(F.hex("sig")).alias("assinatura"))
+
+
 def near_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows, found = _rows(spark, folder), near(spark, folder)
     affected = D.near_affected(D.near_components(found))
@@ -93,7 +99,7 @@ QUERIES = {
     "resumo_duplicatas": lambda s, d: rounded(D.exact_report(_rows(s, d), FIELDS)),
     "afetadas_exatas": lambda s, d: D.exact_affected(_rows(s, d), FIELDS),
     "shingles": shingles,
-    "minhash_assinaturas": lambda s, d: D.signatures(_rows(s, d, spread=True).select("id", T.squeezed(F.col("text")).alias("text"))).select("id", F.md5("sig").alias("assinatura"), F.size("bands").alias("bandas")),
+    "minhash_assinaturas": minhash,
     "pares_near_dup": lambda s, d: near(s, d).pairs,
     "classes_near_dup": lambda s, d: near(s, d).members,
     "pares_enriquecidos": lambda s, d: D.enriched(near(s, d).pairs, _rows(s, d)),
@@ -147,11 +153,31 @@ _Q = f"q AS (SELECT year(day) || 'Q' || quarter(day) AS trimestre, title, text F
 _QC = f"qt AS (SELECT trimestre, unnest({_LET.format('text')}) AS token FROM q), qc AS (SELECT trimestre, token, count(*) AS n FROM qt GROUP BY 1, 2)"
 _QTOP = "qr AS (SELECT trimestre, row_number() OVER (PARTITION BY trimestre ORDER BY n DESC, token)::INTEGER AS rank, token, n AS freq FROM qc QUALIFY rank <= 50)"
 _VIA = f"via AS (SELECT category AS classe, count(text) AS n_textos, count(text) >= 2 AS viavel FROM {ART} WHERE category IS NOT NULL GROUP BY 1)"
-_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_ST = "nullif(regexp_replace({0}, '^[" + _WS.replace("{", "{{").replace("}", "}}") + "]+|[" + _WS.replace("{", "{{").replace("}", "}}") + "]+$', '', 'g'), '')"
-_SQ = f"trim(regexp_replace(lower(title), '[{_WS}]+', ' ', 'g'))"
+_SQ = f"trim(regexp_replace(lower(title), '[{WHITE}]+', ' ', 'g'))"
+
+_NEAR = near_sql()
+_ENDS = "en AS (SELECT rep, arg_min(mb.id, (day, mb.id)) AS lo, min(day) AS lod, arg_max(mb.id, (day, mb.id)) AS hi, max(day) AS hid FROM mb JOIN r USING (id) WHERE day IS NOT NULL GROUP BY 1)"
+_FAR = (
+    "fa AS (SELECT rep AS rep_a, rep AS rep_b, 1.0::DOUBLE AS jaccard_estimado, lo AS x, hi AS y, hid - lod AS d FROM en UNION ALL "
+    "SELECT id_a, id_b, jaccard_estimado, CASE WHEN b.hid - a.lod >= a.hid - b.lod THEN a.lo ELSE b.lo END, CASE WHEN b.hid - a.lod >= a.hid - b.lod THEN b.hi ELSE a.hi END, "
+    "greatest(b.hid - a.lod, a.hid - b.lod) FROM np JOIN en a ON a.rep = id_a JOIN en b ON b.rep = id_b)"
+)
+_SIDES = "a.title AS title_a, a.day AS day_a, a.category AS category_a, b.title AS title_b, b.day AS day_b, b.category AS category_b, abs(a.day - b.day)::INTEGER AS dias"
+_AFFECTED = " UNION ".join(f"(SELECT id FROM r WHERE {c} IS NOT NULL QUALIFY id > min(id) OVER (PARTITION BY {c}))" for c in FIELDS)
 
 ORACLE_SQL = {
+    "minhash_assinaturas": f"WITH {_NEAR} SELECT id, array_to_string(list_transform(sig, lambda v: printf('%02x%02x%02x%02x', (v & 255)::INTEGER, ((v >> 8) & 255)::INTEGER, ((v >> 16) & 255)::INTEGER, ((v >> 24) & 255)::INTEGER)), '') AS assinatura FROM sg",
+    "pares_near_dup": f"WITH {_NEAR} SELECT * FROM np",
+    "classes_near_dup": f"WITH {_NEAR} SELECT * FROM mb",
+    "pares_enriquecidos": f"WITH {_ROWS}, {_NEAR} SELECT np.*, {_SIDES} FROM np JOIN r a ON a.id = id_a JOIN r b ON b.id = id_b",
+    "pares_distantes": f"WITH {_ROWS}, {_NEAR}, {_ENDS}, {_FAR} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, jaccard_estimado, rep_a, rep_b, {_SIDES} FROM fa JOIN r a ON a.id = least(x, y) JOIN r b ON b.id = greatest(x, y) WHERE d > 30",
+    "componentes_conexos": f"WITH RECURSIVE {_NEAR}, {COMPONENTS} SELECT * FROM cp",
+    "afetadas_near": f"WITH RECURSIVE {_NEAR}, {COMPONENTS} SELECT id FROM cp WHERE id <> componente",
+    "resumo_deduplicacao": f"WITH RECURSIVE {_ROWS}, {_NEAR}, {COMPONENTS}, ex AS ({_AFFECTED}), ne AS (SELECT id FROM cp WHERE id <> componente), "
+    "sz AS (SELECT rep, count(*) AS n FROM mb GROUP BY 1), pn AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM sz) + (SELECT coalesce(sum(x.n * y.n), 0) FROM np JOIN sz x ON x.rep = id_a JOIN sz y ON y.rep = id_b) AS n), "
+    "t AS (SELECT count(*) AS total, count(*) FILTER (text IS NULL) AS nulos FROM r), u AS (SELECT count(*) AS n FROM (SELECT id FROM ex UNION SELECT id FROM ne)) "
+    "SELECT total AS total_corpus_bruto, nulos AS linhas_com_text_nulo, (SELECT count(*) FROM ex) AS afetadas_exatas, (SELECT count(*) FROM ne) AS afetadas_near, pn.n::BIGINT AS pares_near_encontrados, "
+    "u.n AS afetadas_uniao, round(u.n / total::DOUBLE, 8) AS pct_corpus_afetado, u.n / total::DOUBLE > 0.01 AS parada_acionada FROM t, u, pn",
     "normalizar_categoria": f"SELECT article_id, category AS categoria, positive FROM {ART}",
     "corpus_preparado": f"WITH n AS (SELECT row_number() OVER (ORDER BY day NULLS LAST, link NULLS LAST, article_id) - 1 AS id_raw, * FROM {ART}) SELECT id_raw, article_id, day, link, category AS y_original FROM n WHERE day IS NOT NULL AND text IS NOT NULL",
     "dedup_texto_exato": f"WITH {_ROWS}, {_DEDUP} SELECT * FROM corpus",
@@ -179,8 +205,8 @@ ORACLE_SQL = {
     "estatisticas_texto": f"WITH {_Q} SELECT trimestre, count(*) AS n_documentos, round(avg(coalesce(length(title), 0)), 8) AS comprimento_medio_titulo_chars, round(avg(len({_LET.format('title')})), 8) AS comprimento_medio_titulo_tokens, round(avg(length(text)), 8) AS comprimento_medio_texto_chars, round(avg(len({_LET.format('text')})), 8) AS comprimento_medio_texto_tokens FROM q GROUP BY 1",
     "jaccard_consecutivo": f"WITH {_Q}, {_QC}, {_QTOP}, st AS (SELECT trimestre, list(DISTINCT token) AS t FROM qr GROUP BY 1), lg AS (SELECT trimestre, t, lag(trimestre) OVER (ORDER BY trimestre) AS b, lag(t) OVER (ORDER BY trimestre) AS bt FROM st) SELECT b AS trimestre_anterior, trimestre AS trimestre_atual, round(len(list_intersect(t, bt)) / len(list_distinct(list_concat(t, bt)))::DOUBLE, 8) AS jaccard_top50 FROM lg WHERE b IS NOT NULL",
     "psi_vs_baseline": f"WITH {_Q}, {_QC}, vo AS (SELECT token, sum(n) AS a FROM qc GROUP BY 1 ORDER BY a DESC, token LIMIT 200), gr AS (SELECT DISTINCT trimestre FROM qc), ce AS (SELECT gr.trimestre, vo.token, coalesce(n, 0) AS n FROM gr CROSS JOIN vo LEFT JOIN qc ON qc.trimestre = gr.trimestre AND qc.token = vo.token), sh AS (SELECT trimestre, token, greatest(coalesce(n / nullif(sum(n) OVER (PARTITION BY trimestre), 0)::DOUBLE, 0.0), 1e-6) AS o FROM ce), b AS (SELECT token, o AS e FROM sh WHERE trimestre = (SELECT min(trimestre) FROM sh)) SELECT trimestre, round(sum((o - e) * ln(o / e)), 8) AS psi_top200 FROM sh JOIN b USING (token) GROUP BY 1",
-    "juntar_titulo_texto": f"SELECT article_id, md5(concat_ws(' ', {_ST.format('title')}, {_ST.format('text')})) AS entrada FROM articles",
-    "truncar_palavras": f"WITH w AS (SELECT article_id, text, regexp_extract_all(text, '[^{_WS}]+') AS w FROM articles) SELECT article_id, md5(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') END) AS texto FROM w",
+    "juntar_titulo_texto": f"SELECT article_id, md5(concat_ws(' ', {STRIPPED.format('title')}, {STRIPPED.format('text')})) AS entrada FROM articles",
+    "truncar_palavras": f"WITH w AS (SELECT article_id, text, regexp_extract_all(text, '[^{WHITE}]+') AS w FROM articles) SELECT article_id, md5(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') END) AS texto FROM w",
     "parsear_resposta": "WITH t AS (SELECT article_id, strip_accents(lower(regexp_extract(title, '\\p{L}+(?:-\\p{L}+)*'))) AS t FROM articles) SELECT article_id, CASE WHEN t IN "
     + _IN([*ANCHORS, "a", "o", "segundo", "entenda"])
     + " THEN t END AS classe FROM t",

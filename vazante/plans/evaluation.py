@@ -11,7 +11,7 @@ from ..operators import splits as S
 from ..operators.duplicates import near_pairs
 from ..schemas import POSITIVE
 from ..session import cut, table
-from .base import ART, LAST_MONTH, articles, rounded
+from .base import ART, LAST_MONTH, articles, near_sql, rounded
 
 START = "2015-01-01"
 
@@ -183,7 +183,11 @@ ORACLE_SQL = {
     "folds_rolling": f"WITH {_DATED}, {_FOLDS} SELECT * FROM fo",
     "folds_kfold": f"WITH {_DATED}, n AS (SELECT id, category AS y, row_number() OVER (ORDER BY category NULLS LAST, {_KEY.format('2026')}, id) - 1 AS p FROM d) SELECT id, y, (p % 5)::INTEGER AS fold, (p // 5) % 5 = 0 AS validacao_interna FROM n",
     "subamostra_por_mes": f"WITH {_DATED}, m AS (SELECT date_trunc('month', day)::DATE AS mes, count(*) AS n FROM d GROUP BY 1), q AS (SELECT mes, greatest(1, round_even(n * least(1.0::DOUBLE, 1000.0::DOUBLE / (SELECT sum(n) FROM m)), 0)) AS quota FROM m), k AS (SELECT id, date_trunc('month', day)::DATE AS mes, {_KEY.format('2026')} AS k FROM d) SELECT id, mes FROM k JOIN q USING (mes) QUALIFY row_number() OVER (PARTITION BY mes ORDER BY k, id) <= quota",
-    "leakage_por_fold": f"WITH {_DATED}, {_FOLDS}, g AS (SELECT id, min(id) OVER (PARTITION BY text) AS a FROM d WHERE text IS NOT NULL), pr AS (SELECT a AS id_a, id AS id_b FROM g WHERE id > a), l AS (SELECT id, fold, CASE WHEN papel = 'teste' THEN 'teste' ELSE 'treino' END AS lado FROM fo), j AS (SELECT x.fold, x.lado AS la, y.lado AS lb FROM pr JOIN l x ON x.id = id_a JOIN l y ON y.id = id_b AND y.fold = x.fold) SELECT fold, count(*) AS pares_presentes, count(*) FILTER (la <> lb) AS pares_cruzando_treino_teste, count(*) FILTER (la = 'treino' AND lb = 'treino') AS pares_dentro_treino, count(*) FILTER (la = 'teste' AND lb = 'teste') AS pares_dentro_teste, round(coalesce(count(*) FILTER (la <> lb) / nullif(count(*), 0)::DOUBLE, 0), 8) AS fracao_cruzando FROM j GROUP BY ROLLUP (fold)",
+    "leakage_por_fold": f"WITH {_DATED}, {_FOLDS}, dn AS (SELECT id AS article_id, text FROM d), {near_sql('dn')}, "
+    "pr AS (SELECT x.id AS id_a, y.id AS id_b FROM mb x JOIN mb y ON x.rep = y.rep AND x.id < y.id UNION ALL SELECT x.id, y.id FROM np JOIN mb x ON x.rep = id_a JOIN mb y ON y.rep = id_b), "
+    "l AS (SELECT id, fold, CASE WHEN papel = 'teste' THEN 'teste' ELSE 'treino' END AS lado FROM fo), j AS (SELECT x.fold, x.lado AS la, y.lado AS lb FROM pr JOIN l x ON x.id = id_a JOIN l y ON y.id = id_b AND y.fold = x.fold), "
+    "al AS (SELECT fold, la, lb FROM j UNION ALL SELECT DISTINCT fold, NULL, NULL FROM l) "
+    "SELECT fold, count(la) AS pares_presentes, count(*) FILTER (la <> lb) AS pares_cruzando_treino_teste, count(*) FILTER (la = 'treino' AND lb = 'treino') AS pares_dentro_treino, count(*) FILTER (la = 'teste' AND lb = 'teste') AS pares_dentro_teste, round(coalesce(count(*) FILTER (la <> lb) / nullif(count(la), 0)::DOUBLE, 0), 8) AS fracao_cruzando FROM al GROUP BY ROLLUP (fold)",
     "matriz_confusao": f"WITH {_P} SELECT fold, y_true, y_pred, count(*) AS n FROM p GROUP BY 1, 2, 3",
     "metricas_fold": f"WITH {_P}, {_F1}, {_AUC} SELECT mf.*, pr_auc FROM mf LEFT JOIN auc ON mf.fold = auc.fold",
     "pr_auc": f"WITH {_P}, {_AUC} SELECT * FROM auc",
@@ -191,7 +195,7 @@ ORACLE_SQL = {
     "classe_majoritaria": f"WITH {_DATED} SELECT category, count(*) AS n FROM d WHERE category IS NOT NULL GROUP BY 1 ORDER BY n DESC, category LIMIT 1",
     "janelas_mensais": f"WITH {_DATED} SELECT (row_number() OVER (ORDER BY date_trunc('month', day)) - 1)::INTEGER AS janela_idx, strftime(any_value(day), '%Y-%m') AS rotulo, date_trunc('month', any_value(day))::DATE AS inicio, (date_trunc('month', any_value(day)) + INTERVAL 1 MONTH)::DATE AS fim, count(*) AS n FROM d GROUP BY date_trunc('month', day)",
     "janelas_bisemanais": f"WITH {_DATED}, o AS (SELECT date_trunc('month', min(day))::DATE AS o, max(day) AS l FROM d), k AS (SELECT o, ((day - o) // 14)::INTEGER AS k, l FROM d, o), g AS (SELECT k, any_value(o) + k * 14 AS inicio, count(*) AS n FROM k WHERE (k + 1) * 14 <= l - o + 1 GROUP BY k) SELECT (row_number() OVER (ORDER BY k) - 1)::INTEGER AS janela_idx, strftime(inicio, '%Y-%m-%d') || '_' || strftime(inicio + 13, '%Y-%m-%d') AS rotulo, inicio, inicio + 14 AS fim, n FROM g",
-    "particoes_aleatorias": f"WITH {_DATED}, m AS (SELECT date_trunc('month', day) AS mes, count(*) AS n FROM d GROUP BY 1), s AS (SELECT (row_number() OVER (ORDER BY mes) - 1)::INTEGER AS i, sum(n) OVER (ORDER BY mes) - n AS f, sum(n) OVER (ORDER BY mes) AS u FROM m), k AS (SELECT r::INTEGER AS r, id, row_number() OVER (PARTITION BY r ORDER BY ('0x' || substr(md5((2026 + r) || ':' || id), 1, 15))::BIGINT, id) - 1 AS p FROM d, range(2) t(r)) SELECT r AS repeticao, id, i AS janela_idx, 'rand_' || lpad(i::VARCHAR, 3, '0') AS rotulo FROM k JOIN s ON p >= f AND p < u",
+    "particoes_aleatorias": f"WITH {_DATED}, m AS (SELECT date_trunc('month', day) AS mes, count(*) AS n FROM d GROUP BY 1), s AS (SELECT (row_number() OVER (ORDER BY mes) - 1)::INTEGER AS i, sum(n) OVER (ORDER BY mes) - n AS f, sum(n) OVER (ORDER BY mes) AS u FROM m), k AS (SELECT r::INTEGER AS r, id, row_number() OVER (PARTITION BY r ORDER BY ('0x' || substr(md5((2026 + r) || ':' || id), 1, 15))::BIGINT, id) - 1 AS p FROM d, range(5) t(r)) SELECT r AS repeticao, id, i AS janela_idx, 'rand_' || lpad(i::VARCHAR, 3, '0') AS rotulo FROM k JOIN s ON p >= f AND p < u",
     "filtro_periodo": f"SELECT article_id, day FROM {ART} WHERE day >= DATE '2015-06-01' AND day < DATE '2016-06-01'",
     "filtro_escopo_global": f"SELECT article_id, category FROM {ART}",
     "filtro_escopo_mercado": f"SELECT article_id, category FROM {ART} WHERE category = 'mercado'",

@@ -10,7 +10,7 @@ from ..operators import splits as S
 from ..schemas import FIVE, POSITIVE
 from ..session import cut
 from ..streaming import series
-from .base import LAST_MONTH, articles, rounded
+from .base import LAST_MONTH, STRIPPED, WHITE, articles, rounded
 
 FAMILIES = ("logreg", "svm")
 FOLDS = 5
@@ -19,9 +19,9 @@ FOLDS = 5
 def _folds(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Each rolling fold of the five-class rollup: ``id, text, y, papel``."""
     rows = articles(spark, folder).filter(F.col("category").isin(*FIVE) & (F.col("day") >= "2015-01-01") & (F.col("day") < LAST_MONTH) & F.col("text").isNotNull())
-    rows = cut(rows.select(F.col("article_id").alias("id"), "day", "text", F.col("category").alias("y")), "five-classes")
+    rows = cut(rows.select(F.col("article_id").alias("id"), "day", "title", "text", F.col("category").alias("y")), "five-classes")
     folds = cut(S.rolling_folds(rows, FOLDS), "folds")
-    return [rows.join(folds.filter(F.col("fold") == k).select("id", "papel"), "id").select("id", "text", "y", "papel") for k in range(FOLDS)]
+    return [rows.join(folds.filter(F.col("fold") == k).select("id", "papel"), "id").select("id", "title", "text", "y", "papel") for k in range(FOLDS)]
 
 
 def _predictions(family: str):
@@ -29,7 +29,7 @@ def _predictions(family: str):
         found = None
         for k, rows in enumerate(_folds(spark, folder)):
             model = M.train(rows.filter("papel <> 'teste'"), M.Config(family))
-            out = model.predict(rows.filter("papel = 'teste'").select("id", "text", "y"))
+            out = model.predict(rows.filter("papel = 'teste'").select("id", "title", "text", "y"))
             out = out.select(F.lit(k).alias("fold"), "id", "y", "y_pred", F.try_element_at("scores", F.lit(POSITIVE)).alias("score_mercado"))
             found = out if found is None else found.union(out)
         return rounded(found, 6)
@@ -41,8 +41,9 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Both families' grids on the inner split of every fold, and the choice of each."""
     out = []
     for fold, rows in enumerate(_folds(spark, folder)):
+        split = M.featured_split(rows.filter("papel = 'treino_interno'"), rows.filter("papel = 'validacao_interna'"))
         for family in FAMILIES:
-            tried, best = M.search(rows.filter("papel = 'treino_interno'"), rows.filter("papel = 'validacao_interna'"), POSITIVE, M.Config(family))
+            tried, best = M.search(split, None, POSITIVE, M.Config(family))
             out += [(fold, family, k, *row, k == best) for k, row in enumerate(tried)]
     return spark.createDataFrame(out, "fold int, familia string, config int, c double, balanced boolean, tp long, fp long, fn long, f1 double, escolhida boolean")
 
@@ -55,7 +56,7 @@ class KeywordStub:
 
 
 def zero_shot(spark: SparkSession, folder: str) -> DataFrame:
-    docs = articles(spark, folder).select(F.col("article_id").alias("id"), "text")
+    docs = articles(spark, folder).select(F.col("article_id").alias("id"), "title", "text")
     return M.zero_shot(docs, list(FIVE), "Classifique:\n{text}", KeywordStub, "poder").select("id", "y_pred", "fora_do_rotulo")
 
 
@@ -74,8 +75,7 @@ QUERIES = {
 }
 
 _CASES = " ".join(f"WHEN contains(lower('Classifique:' || chr(10) || t), '{c}') THEN '{c}'" for c in FIVE)
-_W = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ORACLE_SQL = {
     "stream_serie_eventos": "SELECT ts::DATE AS data, count(*) AS total, count(*) FILTER (event_type = 'click') AS positivos FROM events WHERE ts IS NOT NULL GROUP BY 1",
-    "zero_shot": f"WITH w AS (SELECT article_id, coalesce(text, '') AS x FROM articles), v AS (SELECT article_id, x, regexp_extract_all(x, '[^{_W}]+') AS w FROM w), t AS (SELECT article_id, CASE WHEN len(w) <= 1500 THEN x ELSE array_to_string(w[1:1500], ' ') END AS t FROM v), a AS (SELECT article_id, CASE {_CASES} END AS c FROM t) SELECT article_id AS id, coalesce(c, 'poder') AS y_pred, c IS NULL AS fora_do_rotulo FROM a",
+    "zero_shot": f"WITH w AS (SELECT article_id, concat_ws(' ', {STRIPPED.format('title')}, {STRIPPED.format('text')}) AS x FROM articles), v AS (SELECT article_id, x, regexp_extract_all(x, '[^{WHITE}]+') AS w FROM w), t AS (SELECT article_id, CASE WHEN len(w) <= 1500 THEN x ELSE array_to_string(w[1:1500], ' ') END AS t FROM v), a AS (SELECT article_id, CASE {_CASES} END AS c FROM t) SELECT article_id AS id, coalesce(c, 'poder') AS y_pred, c IS NULL AS fora_do_rotulo FROM a",
 }

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +33,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    Only where it is unset (tests, single machine) a temporary folder is made, set
-    on the context and removed at exit.
+    Only where it is unset and everything runs on one machine (a ``local`` master, as in tests) a temporary
+    folder is made, set on the context and removed at exit; on a cluster a missing setting is an error.
     """
     value = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if value:
@@ -40,19 +42,38 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="vazante-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir("file://" + path)
     return "file://" + path
 
 
+_open: list[set[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table in the shared folder, removed when the driver ends."""
+    """A fresh path for one written table in the shared folder, removed when its ``scratch`` or the driver ends."""
     path = f"{shared_dir(spark)}/vazante/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
+    if _open:
+        _open[-1].add(path)
+    else:
+        atexit.register(remove_path, spark, path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at its end: a long session wraps each query, its writing included."""
+    _open.append(set())
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of any Hadoop file system; a stopped session or absent path is ignored."""
     try:
