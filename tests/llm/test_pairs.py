@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,58 @@ def test_runs_reach_the_target():
     assert s.depth(10) == 1 and s.depth(10**9) > s.depth(10**6)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_runs_reach_the_recall_of_shared_coordinates(depth):
+    """Simulated signatures of pairs exactly at the threshold, all runs drawn from the same coordinates."""
+    s, rng = C.JoinSettings(), np.random.default_rng(depth)
+    for runs, level in ((s.least_runs(depth), 0), (s.runs(depth), s.more_levels)):
+        agree = rng.random((100_000, sketch.COORDS)) < s.threshold
+        k = agree.sum(1)
+        met = np.ones(len(k))
+        for place in range(depth):
+            met *= (k - place) / (sketch.COORDS - place)
+        lost = np.zeros(len(k))
+        for _ in range(level):
+            lost = (1 - k / sketch.COORDS + k / sketch.COORDS * lost) ** s.children
+        assert ((1 - met * (1 - lost)) ** runs).mean() < 0.0012
+
+
+def family(stem, number, first):
+    """Texts that differ from each other in one word, at a place of their own."""
+    base = [f"{stem}{k}" for k in range(60)]
+    return [(first + k, " ".join([*base[:30], f"novo{first + k}", *base[30:]])) for k in range(number)]
+
+
+def test_a_family_on_both_sides_is_compared_in_blocks(spark, monkeypatch):
+    """Every pair across the sides is found, and no task holds a whole node."""
+    train = family("f", 700, 0) + family("g", 300, 10_000)
+    other = family("f", 90, 50_000) + family("h", 300, 60_000)
+    largest = []
+    real = C.buckets.compare_blocks
+
+    def watched(large, most, block=64):
+        entries = C.buckets.in_blocks(large, block)
+        largest.append(entries.groupBy("node").count().agg(F.max("count")).first()[0])
+        return real(large, most, block)
+
+    monkeypatch.setattr(C.buckets, "compare_blocks", watched)
+    settings = C.JoinSettings(small=64, more_levels=1)
+    frames = [spark.createDataFrame(r, "id long, text string") for r in (train, other)]
+    got = O.overlap_pairs(O.overlaps(*frames, settings)).select("train_id", "evaluation_id")
+    assert got.count() == got.distinct().count() == 700 * 90
+    assert largest and max(largest) < 2 * 64 * 2
+    both = spark.createDataFrame(train[:200], "id long, text string")
+    assert C.duplicate_pairs(C.near_duplicates(both, settings)).count() == 200 * 199 // 2
+
+
+def test_large_classes_are_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "EXPANDED", 7)
+    hot = " ".join(f"h{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, hot) for k in range(50)], "id long, text string")
+    got = C.duplicate_pairs(C.near_duplicates(docs))
+    assert got.count() == got.distinct().count() == 50 * 49 // 2
+
+
 def test_overlaps_equal_brute_force(spark):
     rows = corpus(3)
     train, other = rows[::2], rows[1::2]

@@ -50,6 +50,20 @@ def test_format_duplicates_many_buckets(spark):
     assert groups == {k: 3 for k in range(700)} | {9000: 500}
 
 
+def test_format_duplicates_with_long_common_parts(spark):
+    """Strings that share thousands of bytes are split in few levels; the same string from many tasks is one group."""
+    stem = b"mesmo " * 900
+    rows = [(k, stem + b"fim %04d" % (k % 300)) for k in range(900)] + [(5000 + k, stem) for k in range(40)] + [(7000, b"outro"), (7001, b"outro" + stem)]
+    df = spark.createDataFrame(rows, "id long, key binary").repartition(8)
+    entries = radix.combine(df).filter("copies is not null").cache()
+    splits = radix.split_table(entries, 20, 2)
+    assert len({len(p) for p in splits}) < 8
+    groups = {r.first_id: r.copies for r in radix.format_duplicates(df, radix.RadixSettings(fits=20, step=2)).groups.collect()}
+    assert groups == {k: 3 for k in range(300)} | {5000: 40, 7000: 1, 7001: 1}
+    sizes = radix.bucketed(entries, radix.RadixSettings(fits=20, step=2)).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 20
+
+
 def test_format_duplicates_of_nothing(spark):
     found = radix.format_duplicates(spark.createDataFrame([], "id long, key binary"))
     assert found.groups.count() == 0 and radix.copies_of(found).count() == 0

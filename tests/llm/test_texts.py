@@ -36,34 +36,52 @@ def test_chunks_cover_the_text():
     for size in (64, 100, 1000):
         parts = list(Q.chunks(text, size))
         assert "".join(p for p, _ in parts) == text
-        assert any(inside for _, inside in parts)
+        assert all(len(p) <= size for p, _ in parts[:-1])
+    assert any(inside for _, inside in Q.chunks(text, 64))
+    assert list(Q.chunks("", 5)) == [("", False)]
+    assert [p for p, _ in Q.chunks("<td a b c d e f>um dois tres", 4)] == ["<td a b c d e f>um ", "dois ", "tres"]
 
 
-def test_merging_is_exact_and_associative():
+SIGNS = [
+    "um ", "dois, ", "tres. ", "\n", "\n\n", "| ", "12 ", "• ", "de ", "ã", "  ", "-", "Palavra ", "1. ", "a) ", "2ª ", "- ", "\t", "\r\n", "\r", "\xa0", ";", "();", "{", "<td x ", ">", "</td>",
+    "fim…\"", "? ", "?", "»", " > ", " / ", " · ", "#tag ", ",", "3,5", "\ufffd", "início ", "x" * 25, "palavralonga", "_", "[x] ", "(b) ", "\u2028", "日本語", "1º ", "iv. ", "a:b ", "\": ",
+]
+
+
+def whole_and_parts(rng, text, size):
+    whole = Q.State.of(text)
+    parts = [Q.State.of(p, inside) for p, inside in Q.chunks(text, size)]
+    left, right = parts[0], parts[-1]
+    for p in parts[1:]:
+        left = left.merge(p)
+    for p in parts[-2::-1]:
+        right = p.merge(right)
+    while len(parts) > 1:  # any other order
+        k = rng.randrange(len(parts) - 1)
+        parts[k : k + 2] = [parts[k].merge(parts[k + 1])]
+    return whole.closed(), [left.closed(), right.closed(), parts[0].closed()]
+
+
+def test_chunks_change_no_count_and_no_kind():
     rng = random.Random(5)
-    signs = ["um ", "dois, ", "tres. ", "\n", "\n\n", "| ", "12 ", "• ", "de ", "ã", "  ", "-", "Palavra "]
-    for _ in range(200):
-        text = "".join(rng.choices(signs, k=60))
-        whole = Q.State.of(text).closed()
-        cuts = [k for k in range(1, len(text)) if text[k - 1].isspace() and not text[k].isspace()]
-        cuts = sorted(rng.sample(cuts, min(3, len(cuts))))
-        parts = [Q.State.of(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        left, right = parts[0], parts[-1]
-        for p in parts[1:]:
-            left = left.merge(p, False)
-        for p in parts[-2::-1]:
-            right = p.merge(right, False)
-        loose = {"gaps", "marker", "arrows", "enders"}  # read across a cut only
-        for merged in (left.closed(), right.closed()):
-            for key in ("chars", "letters", "digits", "words", "alpha", "common", "long", "lines", "stops", "distinct", "word_chars", "common_ends"):
-                assert merged[key] == whole[key], (key, text, cuts, loose)
-
-
-def test_words_cut_in_two_count_once():
-    text = "abc " + "x" * 100 + " fim"
-    for at in range(5, 103):
-        merged = Q.State.of(text[:at]).merge(Q.State.of(text[at:]), True).closed()
-        assert (merged["words"], merged["long"], merged["word_chars"]) == (3, 100, 106)
+    cut = 0
+    for trial in range(3000):
+        signs = rng.sample(SIGNS, rng.randint(3, len(SIGNS)))
+        text = "".join(rng.choices(signs, k=rng.randint(1, 120)))
+        size = rng.choice([1, 5, 20, 60, 200])
+        cut += len(list(Q.chunks(text, size))) > 1
+        whole, merged = whole_and_parts(rng, text, size)
+        for other in merged:
+            assert other == whole, (text, size)
+            assert Q.kind_of(other) == Q.kind_of(whole)
+    assert cut > 2000
+
+
+def test_long_unbroken_strings_stay_whole():
+    rng = random.Random(6)
+    for text in ("abc " + "x" * 500 + " fim", "日本語" * 300, "<td " + "a b " * 200, " " * 400 + "fim", "a_b " * 100, "... " * 200):
+        whole, merged = whole_and_parts(rng, text, 20)
+        assert all(m == whole for m in merged)
 
 
 def test_statistics_of_a_table(spark):

@@ -16,9 +16,9 @@ How it is laid out on Spark:
   never fill a node (a class that holds a third of the rows counts as one record);
 * the first levels, which cannot yield a small node, are taken in one step; after that
   one shuffle a level sorts nodes, compares the small ones in place and passes on the
-  members of the large ones;
+  members of the large ones, each to several children;
 * a node still large at the last level holds sets that are nearly all similar: its
-  members are cut into blocks and the block pairs spread over tasks.
+  members are dealt into blocks and the block pairs spread over tasks.
 
 Null and blank texts, and texts of fewer than ``min_words`` words, have no similarity
 to anything: they are in no pair and form a class of their own in the groups.
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import buckets
 from ..operators.graph import connected_components
 from ..session import cut
 from . import sketch
@@ -42,9 +43,10 @@ from . import sketch
 FINGERPRINT = (
     "id long, c1 long, c2 long, words long, sk long, n0 long, n1 long, n2 long, n3 long, sig binary"
 )
-ENTRY = "node long, c1 long, sk long"
+ENTRY = "node long, item long, sk long"
 SEEN_LIMIT = 1_000_000
 MOST_RUNS = 1 << 16
+EXPANDED = 1_000  # rows of a class that one part of its pairs starts from
 
 
 @dataclass(frozen=True)
@@ -56,15 +58,17 @@ class JoinSettings:
     small: members up to which a node is compared by brute force.
     background: similarity assumed between unrelated texts, which sets the first depth.
     more_levels: levels after the first depth before dense nodes are cut into blocks.
+    children: children of a large node that each of its members goes to.
     """
 
     width: int = 3
     threshold: float = 0.7
     min_words: int = 20
     target_recall: float = 0.999
-    small: int = 64
+    small: int = 512
     background: float = 0.1
-    more_levels: int = 6
+    more_levels: int = 2
+    children: int = 4
 
     def depth(self, sets: int) -> int:
         """Levels that surely leave more than ``small`` members, so no node is counted there."""
@@ -73,13 +77,13 @@ class JoinSettings:
     def runs(self, depth: int) -> int:
         """Runs for the target recall when nodes stay large and split on: a pair whose signatures agree in ``k``
         coordinates meets in one with the probability that all of a path agree, times the probability that
-        two fresh coordinates a level do not part it for good in ``more_levels`` levels, after which all
+        ``children`` fresh coordinates a level do not part it for good in ``more_levels`` levels, after which all
         members of a node are compared."""
 
         def kept(k: int) -> float:
             t, lost = k / sketch.COORDS, 0.0
             for _ in range(self.more_levels):
-                lost = (1 - t + t * lost) ** 2
+                lost = (1 - t + t * lost) ** self.children
             return 1 - lost
 
         return max(4, self.least_runs(depth, kept))
@@ -161,50 +165,60 @@ def _child(node: np.ndarray, choice: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return sketch.mix(node ^ sketch.mix(token + (choice.astype(np.uint64) << np.uint64(20))))
 
 
+def _entries(batch: pa.RecordBatch, first: int, nodes: list[np.ndarray]) -> pa.RecordBatch:
+    """ENTRY rows that put each row of ``batch`` (item, sk, [side] from column ``first``) into each of ``nodes``."""
+    names = batch.schema.names[first:]
+    kept = [batch.column(k) for k in range(first, batch.num_columns) if batch.schema.names[k] != "sig"]
+    names = [n for n in names if n != "sig"]
+    times = len(nodes)
+    return pa.RecordBatch.from_arrays(
+        [_signed(np.concatenate(nodes)), *(pa.concat_arrays([c] * times) for c in kept)], ["node", *names]
+    )
+
+
+def _with_side(sets: DataFrame) -> tuple[list[str], str]:
+    sided = "side" in sets.columns
+    return ["item", "sk", "sig", *(["side"] if sided else [])], ENTRY + (", side int" if sided else "")
+
+
 def first_nodes(sets: DataFrame, depth: int, runs: int) -> DataFrame:
     """ENTRY rows of all runs at the first depth: one path a run, a coordinate a level."""
     rng = np.random.default_rng(20)
     paths = np.stack([rng.choice(sketch.COORDS, depth, replace=False) for _ in range(runs)])
+    columns, shape = _with_side(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = _sig(batch.column(2))
-            c1, sk = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             nodes = []
             for r, path in enumerate(paths):
                 node = np.full(len(sig), np.uint64(r + 1))
                 for level in path:
                     node = _child(node, np.full(len(sig), level), sig)
                 nodes.append(node)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(nodes)), pa.array(np.tile(c1, runs)), pa.array(np.tile(sk, runs))],
-                ["node", "c1", "sk"],
-            )
+            yield _entries(batch, 0, nodes)
 
-    return sets.select("c1", "sk", "sig").mapInArrow(run, ENTRY)
+    return sets.select(*columns).mapInArrow(run, shape)
 
 
-def next_nodes(members: DataFrame) -> DataFrame:
-    """ENTRY rows of the two children, by coordinates that the node's key samples, of each member."""
+def next_nodes(members: DataFrame, children: int) -> DataFrame:
+    """ENTRY rows of the children, by different coordinates that the node's key samples, of each member."""
+    columns, shape = _with_side(members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            c1, sk = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             sig = _sig(batch.column(3))
             draw = sketch.mix(node + np.uint64(977))
-            one = (draw % np.uint64(sketch.COORDS)).astype(np.int64)
-            two = (one + 1 + ((draw >> np.uint64(32)) % np.uint64(sketch.COORDS - 1)).astype(np.int64)) % sketch.COORDS
-            nodes = np.concatenate([_child(node, one, sig), _child(node, two, sig)])
-            yield pa.RecordBatch.from_arrays(
-                [_signed(nodes), pa.array(np.tile(c1, 2)), pa.array(np.tile(sk, 2))], ["node", "c1", "sk"]
-            )
+            start = (draw % np.uint64(sketch.COORDS)).astype(np.int64)
+            gap = 2 * ((draw >> np.uint64(32)) % np.uint64(sketch.COORDS // 2)).astype(np.int64) + 1  # odd: no coordinate comes twice
+            yield _entries(batch, 1, [_child(node, (start + k * gap) % sketch.COORDS, sig) for k in range(children)])
 
-    return members.select("node", "c1", "sk", "sig").mapInArrow(run, ENTRY)
+    return members.select("node", *columns).mapInArrow(run, shape)
 
 
 def bit_bound(threshold: float) -> int:
@@ -213,108 +227,41 @@ def bit_bound(threshold: float) -> int:
     return int(64 * p + 3.8 * math.sqrt(64 * p * (1 - p)))
 
 
-def compare_nodes(entries: DataFrame, small: int | None, most_bits: int) -> DataFrame:
-    """Sort nodes, compare the members of small ones, hand on those of large ones.
+def candidates(sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Distinct pairs ``a, b`` of items of ``sets(item, sk, sig, [side])`` that met in a node and look alike.
 
-    Gives ``large boolean, a long, b long``: a candidate pair of class keys, or (large) a node and
-    a member. A task streams its sorted nodes and holds one node's first ``small`` members.
+    Without sides ``a < b``; with sides ``a`` is of side 0 and ``b`` of side 1, and nodes that hold one side
+    only go no further. An item may be on both sides.
     """
-
-    def compare(node: np.ndarray, c1: np.ndarray, sk: np.ndarray) -> tuple[list, list]:
-        at = np.arange(len(node))
-        left, right = [], []
-        step = 1
-        while len(at := at[at + step < len(node)]) and len(at := at[node[at] == node[at + step]]):
-            near = np.bitwise_count(sk[at] ^ sk[at + step]) <= most_bits
-            left.append(c1[at[near]])
-            right.append(c1[at[near] + step])
-            step += 1
-        return left, right
-
-    def give(large: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), large)), pa.array(a), pa.array(b)], ["large", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        passing = None  # the large node whose members are being handed on
-        for batch in _then_end(batches):
-            if batch is not None:
-                node, c1, sk = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                held = [np.concatenate(x) for x in zip(held, (node, c1, sk.view(np.uint64)))]
-            node, c1, sk = held
-            if not len(node):
-                continue
-            new = np.ones(len(node), bool)
-            new[1:] = (node[1:] != node[:-1]) | (c1[1:] != c1[:-1])
-            node, c1, sk = node[new], c1[new], sk[new]
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            sizes = np.diff(np.append(starts, len(node)))
-            over = sizes > small if small else np.zeros(len(sizes), bool)
-            if passing is not None:
-                over[0] |= node[0] == passing
-            # the last node may go on in the next batch: hold it unless it is known to be large
-            wait = batch is not None and not over[-1]
-            passing = node[-1] if over[-1] else None
-            end = starts[-1] if wait else len(node)
-            big = np.repeat(over, sizes)[:end]
-            if big.any():
-                yield give(True, node[:end][big], c1[:end][big])
-            left, right = compare(node[:end][~big], c1[:end][~big], sk[:end][~big])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield give(False, np.minimum(a, b), np.maximum(a, b))
-            held = [node[end:], c1[end:], sk[end:]]
-
-    return (
-        entries.repartition("node")
-        .sortWithinPartitions("node", "c1")
-        .mapInArrow(run, "large boolean, a long, b long")
-    )
-
-
-def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def candidates(prints: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Distinct pairs ``a < b`` of class keys that met in a small node and look alike."""
-    sets = prints.filter("sig is not null")
-    number = sets.count()
-    depth = settings.depth(number)
+    depth = settings.depth(sets.count())
     most = bit_bound(settings.threshold)
+    sided = "side" in sets.columns
     entries = first_nodes(sets, depth, settings.runs(depth))
-    levels = []
+    found = []
     for level in range(settings.more_levels + 1):
-        done = cut(compare_nodes(entries, settings.small, most), f"nodes{level}")
-        levels.append(done.filter("not large").select("a", "b"))
-        large = done.filter("large").select(F.col("a").alias("node"), F.col("b").alias("c1"))
+        done = cut(buckets.compare(entries, most, settings.small), f"nodes{level}")
+        found.append(done.filter("not large").select("a", "b"))
+        large = done.filter("large").select(F.col("a").alias("node"), F.col("b").alias("item"), *(["side"] if sided else []))
         if large.isEmpty():
             break
-        own = sets.groupBy("c1").agg(F.any_value("sk").alias("sk"), F.any_value("sig").alias("sig"))
+        if sided:
+            mixed = large.groupBy("node").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x < y").select("node")
+            large = large.join(mixed, "node", "left_semi")
+        own = sets.groupBy("item").agg(F.any_value("sk").alias("sk"), F.any_value("sig").alias("sig"))
         if level < settings.more_levels:
-            entries = next_nodes(large.join(own, "c1"))
-            continue
-        blocks = large.groupBy("node").agg(F.ceil(F.count("*") / settings.small).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int")
-        spread = (
-            large.join(own.drop("sig"), "c1")
-            .join(blocks, "node")
-            .withColumn("block", block)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "c1", "sk")
-        )
-        levels.append(cut(compare_nodes(spread, None, most), "blocks").select("a", "b"))
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.union(more)
-    return found.distinct()
+            entries = next_nodes(large.join(own, "item"), settings.children)
+        else:
+            found.append(cut(buckets.compare_blocks(cut(large.join(own.drop("sig"), "item"), "dense"), most), "blocks"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
 
 
 def same_nibbles(a: str, b: str) -> F.Column:
     """How many of the 64 coordinates agree in four bits, from the packed columns of two aliases."""
     total = F.lit(0)
-    for k in range(4):
+    for k in range(sketch.MARKED // 16):
         x = F.col(f"{a}.n{k}").bitwiseXOR(F.col(f"{b}.n{k}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -328,6 +275,11 @@ def nibble_bound(threshold: float) -> int:
     return int(64 * p - 4 * math.sqrt(64 * p * (1 - p)))
 
 
+def sets_of(prints: DataFrame) -> DataFrame:
+    """One row a task and class: ``item, sk, sig``."""
+    return prints.filter("sig is not null").select(F.col("c1").alias("item"), "sk", "sig")
+
+
 def classes_of(prints: DataFrame) -> DataFrame:
     """One row for each distinct word sequence: its keys, smallest id, number of rows and sketch."""
     return prints.groupBy("c1", "c2").agg(
@@ -381,7 +333,7 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings()) ->
     classes = cut(classes_of(prints), "classes")
     a, b = classes.alias("a"), classes.alias("b")
     pairs = (
-        candidates(prints, settings)
+        candidates(sets_of(prints), settings)
         .join(a, F.col("a") == F.col("a.c1"))
         .join(b, F.col("b") == F.col("b.c1"))
         .filter(same_nibbles("a", "b") >= nibble_bound(settings.threshold))
@@ -401,10 +353,12 @@ def duplicate_pairs(found: NearDuplicates) -> DataFrame:
     own = found.classes.select("c1", "c2", "rep", "rows")
     useful = own.join(linked.withColumn("linked", F.lit(True)), "rep", "left").filter("rows > 1 or linked")
     rows = cut(found.members.join(useful, ["c1", "c2"]).select("rep", "id", "rows"), "members")
+    # the rows of a large class are dealt into parts, each paired with all its rows, so that many tasks expand it
+    parts = F.ceil(F.col("rows") / EXPANDED).cast("int")
+    several = rows.filter("rows > 1")
     inside = (
-        rows.filter("rows > 1")
-        .select("rep", F.col("id").alias("id_a"))
-        .join(rows.filter("rows > 1").select("rep", F.col("id").alias("id_b")), "rep")
+        several.select("rep", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("id_a"))
+        .join(several.select("rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("id_b")), ["rep", "part"])
         .filter("id_a < id_b")
         .select("id_a", "id_b")
     )

@@ -3,8 +3,11 @@
 Texts are canonicalised to their lower-cased words. Each gets one hash of the whole record and
 hashes of samples of its shingles (a chosen number of MinHash coordinates each, in as many
 independent samples as the target recall asks for). Evaluation hashes are joined with training
-hashes; a pair that meets is verified exactly. Equal records enter once a side, so copies don't
-multiply in the join; matches are expanded to rows and counted by split and category at the end.
+hashes: equal whole-record hashes by an equi-join, sampled hashes bucket by bucket, only across
+the sides. A hash that many records of both sides share is split by further coordinates and at
+last into blocks, as in the chosen-path join. A pair that meets is verified exactly. Equal records
+enter once a side, so copies don't multiply in the join; matches are expanded to rows and counted
+by split and category at the end.
 
 Rows without valid date, outside all periods, or whose text is null, blank or shorter than the
 fewest words have no overlap. A row in several periods counts in each.
@@ -51,13 +54,8 @@ def overlaps(train: DataFrame, evaluation: DataFrame, settings: JoinSettings = J
     """Overlaps between ``train(id, text)`` and ``evaluation(id, text)``."""
     prints_t, classes_t = _side(train, settings, "train")
     prints_e, classes_e = _side(evaluation, settings, "evaluation")
-    sets_t, sets_e = (p.filter("sig is not null") for p in (prints_t, prints_e))
-    depth = max(2, settings.depth(max(sets_t.count(), sets_e.count())))
-    runs = settings.least_runs(depth)
-    hashes_t = chosen_path.first_nodes(sets_t, depth, runs).withColumnsRenamed({"c1": "c1_t", "sk": "sk_t"})
-    hashes_e = chosen_path.first_nodes(sets_e, depth, runs).withColumnsRenamed({"c1": "c1_e", "sk": "sk_e"})
-    near = F.bit_count(F.col("sk_t").bitwiseXOR(F.col("sk_e"))) <= chosen_path.bit_bound(settings.threshold)
-    met = hashes_t.join(hashes_e, "node").filter(near).select("c1_t", "c1_e")
+    sides = [chosen_path.sets_of(p).withColumn("side", F.lit(k)) for k, p in enumerate((prints_t, prints_e))]
+    met = chosen_path.candidates(sides[0].union(sides[1]), settings).select(F.col("a").alias("c1_t"), F.col("b").alias("c1_e"))
     whole = classes_t.select(F.col("c1").alias("c1_t")).join(classes_e.select(F.col("c1").alias("c1_t")), "c1_t").select("c1_t", F.col("c1_t").alias("c1_e"))
     a, b = classes_t.alias("a"), classes_e.alias("b")
     pairs = (

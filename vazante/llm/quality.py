@@ -1,10 +1,13 @@
 """Text statistics of each document that tell natural prose from lists, tables and junk.
 
-A document is read as lines. Long texts are cut into chunks, at white space where there is any; a
-chunk gives partial counts: those of its complete lines, and the open first and last line as
-fragments. Partial counts are merged by an associative operation that joins the fragments at a
-boundary into a line (and, where a cut fell inside an unbroken string, the two parts of the word).
-Documents of many chunks are merged in a tree. Ratios and the kind follow from the merged counts.
+A document is read as lines. Long texts are cut into chunks; a chunk gives partial counts: those of
+its complete lines, and the open first and last line as fragments. Partial counts are merged by an
+associative operation that joins the fragments at a boundary into a line. Documents of many chunks
+are merged in a tree. Ratios and the kind follow from the merged counts.
+
+A cut is made only where no pattern can read across it: after a line end, or after a single blank
+between a word and a word outside any tag. A stretch without such a place stays in one chunk. So the
+counts and the kind of a text do not depend on whether and where it is cut.
 
 Null, empty and blank texts have no lines, null ratios and no kind. Rows are independent of each
 other, so repeated rows get equal results.
@@ -13,11 +16,11 @@ other, so repeated rows get equal results.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ FINAL = ".!?…:\"”»"
 SUMS = (
     "chars letters digits words alpha common long mixed bad code enders stops pipes arrows tabs semis tight gaps cells tags labels word_chars"
 ).split()
-FLAGS = "marker ends_common ends_stop lead trail".split()
+FLAGS = "marker ends_common ends_stop".split()
 FRAGMENT = [*SUMS, *FLAGS]
 KINDS = "item row sentence middle noise rule".split()
 COUNTS = [*SUMS, "lines", *(f"{k}_lines" for k in KINDS), *(f"{k}_words" for k in KINDS), "common_ends", "stop_ends"]
@@ -76,15 +79,19 @@ _at = {name: k for k, name in enumerate(FRAGMENT)}
 _ct = {name: k for k, name in enumerate(COUNTS)}
 
 
+FIELD = 32
+MASK = (1 << FIELD) - 1
+
+
 class _WordInfo(dict):
-    """What a word adds to the sums, packed into one integer of 24-bit fields; computed once a word."""
+    """What a word adds to the sums, packed into one integer of 32-bit fields; computed once a word."""
 
     def __missing__(self, word: str) -> int:
         low, letters = word.lower(), sum(map(str.isalpha, word))
         plain = len(word) < 8 or word.isdigit() or word.isalpha() and (word.islower() or word.istitle() or word.isupper())
         size = len(word)
         parts = (low in COMMON, not plain, letters > 0, low in LABELS, size if size > LONG else 0, size, size - letters)
-        value = sum(int(x) << 24 * k for k, x in enumerate(parts))
+        value = sum(int(x) << FIELD * k for k, x in enumerate(parts))
         if len(self) > 200_000:
             self.clear()
         if size <= 40:
@@ -93,7 +100,6 @@ class _WordInfo(dict):
 
 
 _info = _WordInfo()
-_FIELD = (1 << 24) - 1
 _EXTRA = {"bad": BAD, "tight": TIGHT, "gaps": GAPS, "cells": CELLS, "tags": TAGS, "semis": SEMIS, "arrows": ARROWS}
 # a character without which the pattern finds nothing
 _NEEDS = {"bad": frozenset("�¤§ƒ©ÂÃ¨¬¦?\x7f").union(map(chr, (*range(9), *range(14, 32), *range(127, 160)))), "tight": frozenset(","),
@@ -109,17 +115,17 @@ def _hints(text: str) -> Hints:
     return patterns, tuple(c for c in CODE if c in text) if there.intersection('{}<>[]=_\\`~^&(;"') else ()
 
 
-def fragment(text: str, hints: Hints = ALL_HINTS) -> list[int]:
-    """The summary of a part of a line."""
+def fragment(text: str, hints: Hints = ALL_HINTS, begins: bool = True) -> list[int]:
+    """The summary of a part of a line; ``begins``: the line begins with it."""
     solid = sum(map(len, text.split()))
     if not solid:
         return [0] * len(FRAGMENT)
     words = WORD.findall(text)
     packed = sum(map(_info.__getitem__, words))
-    common, mixed, alpha, labels, long, word_chars, digits = (packed >> 24 * k & _FIELD for k in range(7))
+    common, mixed, alpha, labels, long, word_chars, digits = (packed >> FIELD * k & MASK for k in range(7))
     last = words[-1] if words else ""
     stripped = text.rstrip()
-    marker = MARKER.match(text)
+    marker = MARKER.match(text) if begins else None
     extra = {name: len(pattern.findall(text)) for name, pattern in hints[0].items()}.get
     code = sum(map((text[marker.end() :] if marker else text).count, hints[1])) if hints[1] else 0
     return [
@@ -127,27 +133,14 @@ def fragment(text: str, hints: Hints = ALL_HINTS) -> list[int]:
         text.count(",") + text.count(";") + text.count(":"), text.count("|") + text.count("│"), extra("arrows", 0), text.count("\t"),
         extra("semis", 0), extra("tight", 0), extra("gaps", 0), extra("cells", 0), extra("tags", 0), labels, word_chars,
         int(marker is not None), int(bool(last) and _info[last] & 1 and stripped.endswith(last)), int(stripped[-1] in FINAL),
-        len(words[0]) if words and text.startswith(words[0]) else 0, len(last) if words and text.endswith(last) else 0,
     ]
 
 
-def join(a: list[int], b: list[int], inside: bool) -> list[int]:
-    """The summary of two neighbouring parts; ``inside``: no white space lies between them."""
+def join(a: list[int], b: list[int]) -> list[int]:
+    """The summary of two neighbouring parts of a line."""
     if not a[0] or not b[0]:
         return b if not a[0] else a
-    out = [x + y for x, y in zip(a[: len(SUMS)], b[: len(SUMS)])]
-    lead, trail = a[_at["lead"]], b[_at["trail"]]
-    first, last = a[_at["trail"]], b[_at["lead"]]
-    if inside and first and last:  # one word in two parts
-        out[_at["words"]] -= 1
-        out[_at["alpha"]] -= 1
-        if first + last > LONG:
-            out[_at["long"]] += (first if first <= LONG else 0) + (last if last <= LONG else 0)
-        if a[_at["words"]] == 1 and a[_at["lead"]] == first:
-            lead += last
-        if b[_at["words"]] == 1 and b[_at["trail"]] == last:
-            trail += first
-    return [*out, a[_at["marker"]], b[_at["ends_common"]], b[_at["ends_stop"]], lead, trail]
+    return [*(x + y for x, y in zip(a[: len(SUMS)], b[: len(SUMS)])), a[_at["marker"]], b[_at["ends_common"]], b[_at["ends_stop"]]]
 
 
 def line_kind(f: list[int]) -> int:
@@ -200,9 +193,10 @@ class State:
         self.counts, self.edge, self.head, self.tail, self.seen = counts, edge, head, tail, seen
 
     @classmethod
-    def of(cls, text: str) -> State:
+    def of(cls, text: str, inside: bool = False) -> State:
+        """The state of a piece; ``inside``: it goes on inside a line."""
         lines, hints = BREAK.split(text), _hints(text)
-        out = cls([0] * len(COUNTS), [NONE] * 4, fragment(lines[0], hints), [], [])
+        out = cls([0] * len(COUNTS), [NONE] * 4, fragment(lines[0], hints, not inside), [], [])
         for line in lines[1:-1]:
             out.line(fragment(line, hints))
         if len(lines) > 1:
@@ -210,7 +204,7 @@ class State:
         distinct = set(WORD.findall(text[:2000]))  # more words are looked at only if these are few
         if len(distinct) <= DISTINCT:
             distinct = set(WORD.findall(text))
-        out.seen = list(range(DISTINCT + 1)) if len(distinct) > DISTINCT else [zlib.crc32(w.encode()) for w in distinct]
+        out.seen = list(range(DISTINCT + 1)) if len(distinct) > DISTINCT else sorted({xxhash.xxh3_64_intdigest(w) >> 1 for w in distinct})
         return out
 
     def line(self, f: list[int]) -> None:
@@ -221,16 +215,16 @@ class State:
                 self.edge[:2] = [kind, f[_at["words"]]]
             self.edge[2:] = [kind, f[_at["words"]]]
 
-    def merge(self, other: State, inside: bool) -> State:
-        """This text followed by ``other``."""
+    def merge(self, other: State) -> State:
+        """This text followed by ``other``, cut at a place that ``chunks`` may choose."""
         seen = list(dict.fromkeys([*self.seen, *other.seen]))[: DISTINCT + 1]
         if not self.tail:
-            head = join(self.head, other.head, inside)
+            head = join(self.head, other.head)
             return State(other.counts, other.edge, head, other.tail, seen)
         if not other.tail:
-            return State(self.counts, self.edge, self.head, join(self.tail, other.head, inside), seen)
+            return State(self.counts, self.edge, self.head, join(self.tail, other.head), seen)
         out = State(self.counts[:], self.edge[:], self.head, other.tail, seen)
-        out.line(join(self.tail, other.head, inside))
+        out.line(join(self.tail, other.head))
         out.counts = [x + y for x, y in zip(out.counts, other.counts)]
         if other.edge[0] != NONE:
             out.edge = [*(out.edge[:2] if out.edge[0] != NONE else other.edge[:2]), *other.edge[2:]]
@@ -302,39 +296,52 @@ def kind_of(c: dict[str, int]) -> str | None:
     return None
 
 
-STATE = "id long, part long, inside boolean, counts array<long>, edge array<long>, head array<long>, tail array<long>, seen array<long>"
+STATE = "id long, part long, counts array<long>, edge array<long>, head array<long>, tail array<long>, seen array<long>"
 _LISTS = ("counts", "edge", "head", "tail", "seen")
 
 
 def _states(rows: list[tuple]) -> pa.RecordBatch:
-    ids, parts, inside, states = zip(*rows) if rows else ((), (), (), ())
+    ids, parts, states = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(inside, pa.bool_())]
+        [pa.array(ids, pa.int64()), pa.array(parts, pa.int64())]
         + [pa.array([getattr(s, n) for s in states], pa.list_(pa.int64())) for n in _LISTS],
-        ["id", "part", "inside", *_LISTS],
+        ["id", "part", *_LISTS],
     )
 
 
+# places to cut (a line end, or a blank between two words; ordinals' raised letters may belong to a list marker) and tags
+PLACES = re.compile(BREAK.pattern + r"|(?<=[^\W_ªº]) (?=[^\W_])|[<>]")
+
+
 def chunks(text: str, size: int) -> Iterator[tuple[str, bool]]:
-    """Pieces of about ``size`` characters that end after white space if there is any in their last
-    quarter; with each, whether it goes on inside an unbroken string of the piece before."""
+    """Pieces of at most ``size`` characters, longer only where a stretch has no place to cut; with each, whether it
+    goes on inside a line of the piece before."""
     at, inside = 0, False
-    while at < len(text) or not at:
-        end = min(at + size, len(text))
-        hard = False
-        if end < len(text):
-            back = end
-            while back > at + 3 * size // 4 and not text[back - 1].isspace():
-                back -= 1
-            hard = not text[back - 1].isspace()
-            if not hard:  # keep a run of white space, and a two-character line end, together
-                end = back
-                while end < len(text) and text[end].isspace():
-                    end += 1
-        yield text[at:end], inside
-        if end >= len(text):
-            return
-        at, inside = end, hard
+    good: tuple[int, bool] | None = None  # the last place to cut, and whether it lies inside a line
+    tag = False
+    for place in PLACES.finditer(text):
+        sign, end = place.group(), place.end()
+        if sign in "<>":
+            tag = sign == "<"
+            continue
+        if sign == " ":
+            if tag:
+                continue
+        else:
+            tag = False
+        if end - at > size and good:
+            yield text[at : good[0]], inside
+            (at, inside), good = good, None
+        if end - at > size:
+            yield text[at:end], inside
+            at, inside, good = end, sign == " ", None
+        else:
+            good = end, sign == " "
+    if good and len(text) - at > size:
+        yield text[at : good[0]], inside
+        at, inside = good
+    if at < len(text) or not at:
+        yield text[at:], inside
 
 
 STATS = (
@@ -380,31 +387,28 @@ def text_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(4)]
-            yield _states([(i, p, h, State.of(t)) for i, p, h, t in zip(*columns)])
+            yield _states([(i, p, State.of(t, h)) for i, p, h, t in zip(*columns)])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
         state = None
-        for inside, *lists in zip(pdf["inside"], *(pdf[n] for n in _LISTS)):
+        for lists in zip(*(pdf[n] for n in _LISTS)):
             after = State(*([int(x) for x in v] for v in lists))
-            state = after if state is None else state.merge(after, bool(inside))
+            state = after if state is None else state.merge(after)
         first = pdf.iloc[0]
-        return pd.DataFrame([[first["id"], first["part"] // FAN, first["inside"], *(getattr(state, n) for n in _LISTS)]], columns=["id", "part", "inside", *_LISTS])
+        return pd.DataFrame([[first["id"], first["part"] // FAN, *(getattr(state, n) for n in _LISTS)]], columns=["id", "part", *_LISTS])
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(k).to_pylist() for k in range(3, 8)]
+            lists = [batch.column(k).to_pylist() for k in range(2, 7)]
             yield _given(batch.column(0).to_pylist(), [State(*x) for x in zip(*lists)])
 
     docs = docs.select(F.col("id").cast("long"), F.col("text").cast("string"))
     short = docs.filter(f"text is null or length(text) <= {chunk}").mapInArrow(whole, STATS)
     long = docs.filter(f"length(text) > {chunk}")
-    most = long.agg(F.max(F.length("text"))).first()[0]
-    if most is None:
-        return short
     parts = long.mapInArrow(split, "id long, part long, inside boolean, text string").repartition("id", "part")
     states = cut(parts.mapInArrow(partial, STATE), "chunks")
-    number = most // (3 * chunk // 4) + 1
+    number = (states.agg(F.max("part")).first()[0] or 0) + 1
     while number > 1:
         states = states.groupBy("id", F.floor(F.col("part") / FAN).alias("node")).applyInPandas(lambda pdf: merged(pdf), STATE)
         number = -(-number // FAN)

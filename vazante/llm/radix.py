@@ -6,8 +6,9 @@ are then partitioned by their leading bytes: buckets with too many entries are s
 bytes, level by level, until each fits or its strings end. A path-compressed trie with terminal
 counters counts each bucket. Rows find their group by a 128-bit key of the canonical bytes.
 
-The table of split prefixes is broadcast only while it is small (checked), else joined by a
-shuffle. Null fields count as empty. An empty table gives no groups.
+A level reads the leading bytes only, which are stored apart, and skips what all strings of a bucket
+share; what it finds is a bounded table of split prefixes. Each string then finds its bucket by one
+walk down that table and is shuffled once. Null fields count as empty. An empty table gives no groups.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from pyspark.sql import functions as F
 from ..functions.text import letters_and_numbers
 from ..session import cut
 
-COMBINED = "id long, h1 long, h2 long, key binary, copies long"
+COMBINED = "id long, h1 long, h2 long, head binary, rest binary, length long, copies long"
+BUCKETED = ["bucket", "key", "copies", "id", "h1", "h2"]
 COMBINE_BYTES = 16_000_000
-BROADCAST_PREFIXES = 20_000
+TABLE_LIMIT = 100_000
+MOST_SPLITS = 1_000_000  # a few hundred bytes each are broadcast
+HEAD, PEEK = 192, 64
+TASK_BYTES = 64_000_000
 PIECE = 16
 
 
 @dataclass(frozen=True)
 class RadixSettings:
-    """fits: entries a bucket may hold; step: bytes by which an oversized bucket is split further."""
+    """fits: entries a bucket may hold (more, in proportion, from 2.5 billion strings on); step: bytes by which an oversized bucket is split further."""
 
     fits: int = 20_000
     step: int = 4
@@ -103,9 +108,9 @@ def combine(records: DataFrame) -> DataFrame:
 
         def entries() -> pa.RecordBatch:
             keys = list(held)
-            ids, copies, h1, h2 = zip(*held.values()) if held else ((), (), (), ())
+            ids, copies, h1, h2 = map(list, zip(*held.values())) if held else ([], [], [], [])
             held.clear()
-            return batch_of(ids, h1, h2, pa.array(keys, pa.binary()), pa.array(copies, pa.int64()))
+            return batch_of(ids, h1, h2, [k[:HEAD] for k in keys], [k[HEAD:] for k in keys], [len(k) for k in keys], copies)
 
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -120,48 +125,121 @@ def combine(records: DataFrame) -> DataFrame:
                 entry[0] = min(entry[0], i)
                 one.append(entry[2])
                 two.append(entry[3])
-            yield batch_of(ids, one, two, pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64()))
+            none = [None] * len(ids)
+            yield batch_of(ids, one, two, none, none, none, none)
             if size > COMBINE_BYTES:
                 yield entries()
                 size = 0
         yield entries()
 
-    def batch_of(ids, h1, h2, key, copies) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, h1, h2)), key, copies], ["id", "h1", "h2", "key", "copies"])
+    def batch_of(*columns: list) -> pa.RecordBatch:
+        kinds = [pa.binary() if c.split()[1] == "binary" else pa.int64() for c in COMBINED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], [c.split()[0] for c in COMBINED.split(", ")])
 
     return records.select(F.col("id").cast("long"), "key").mapInArrow(run, COMBINED)
 
 
-def bucketed(entries: DataFrame, settings: RadixSettings) -> DataFrame:
-    """``entries`` with a column ``bucket``: the leading bytes at which its bucket fits or its strings end."""
-    ends = entries.agg(F.count("*"), F.min(F.substring("key", 1, 512)), F.max(F.substring("key", 1, 512))).first()
-    if ends[0] <= settings.fits:
-        return entries.withColumn("bucket", F.lit(b""))
-    low, high = bytes(ends[1]), bytes(ends[2])
-    shared = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    rows = entries.withColumn("at", F.lit(shared + settings.step)).withColumn("open", F.lit(True))
-    prefix = F.expr("substring(key, 1, at)")
+def walk(head: bytes, length: int, splits: dict[bytes, int]) -> tuple[bytes, bool]:
+    """The bucket of a string that begins with ``head`` and has ``length`` bytes, and whether it could be split further.
+
+    ``splits`` gives, for the prefix of each bucket found too full, the length of its children's prefixes.
+    """
+    at = 0
+    while length > at:
+        prefix = head[:at]
+        after = splits.get(prefix)
+        if after is None:
+            return prefix, True
+        at = after
+    return head[:length], False
+
+
+def _level(entries: DataFrame, splits: dict[bytes, int], deepest: int, peek: int) -> DataFrame:
+    """``bucket, n, low, high`` of the buckets of all strings that could be split further: how many there are, and the
+    least and greatest of their next ``peek`` bytes. ``deepest`` is the longest prefix in ``splits``."""
+    within = deepest + peek <= HEAD
+    sent = entries.sparkSession.sparkContext.broadcast(splits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def given() -> pa.RecordBatch:
+            columns = [pa.array(list(held), pa.binary()), *(pa.array([v[k] for v in held.values()], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary())))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "n", "low", "high"])
+
+        known = sent.value
+        for batch in batches:
+            heads, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rests = [b""] * len(heads) if within else batch.column(2).to_pylist()
+            for head, length, rest in zip(heads, lengths, rests):
+                key = head + rest
+                bucket, more = walk(key, length, known)
+                if not more:
+                    continue
+                piece = key[len(bucket) : len(bucket) + peek]
+                own = held.get(bucket)
+                if own is None:
+                    held[bucket] = [1, piece, piece]
+                    if len(held) > TABLE_LIMIT:
+                        yield given()
+                else:
+                    own[0] += 1
+                    own[1] = min(own[1], piece)
+                    own[2] = max(own[2], piece)
+        yield given()
+
+    columns = ["head", "length"] if within else ["head", "length", "rest"]
+    return (
+        entries.select(*columns)
+        .mapInArrow(run, "bucket binary, n long, low binary, high binary")
+        .groupBy("bucket")
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+
+
+def split_table(entries: DataFrame, fits: int, step: int) -> dict[bytes, int]:
+    """Buckets to split, level by level, until each fits or its strings end.
+
+    A level is one pass over the leading bytes of the strings (over all their bytes only where a bucket shares more
+    than HEAD of them). The bytes that all strings of a bucket share are skipped; where they share all that a level
+    looks at, the next looks four times as far, so levels grow with the logarithm of what is shared.
+    """
+    splits: dict[bytes, int] = {}
+    deepest, peek = 0, PEEK
     while True:
-        full = (
-            rows.filter("open and length(key) > at")
-            .groupBy(prefix.alias("prefix"))
-            .agg(F.count("*").alias("n"))
-            .filter(F.col("n") > settings.fits)
-            .select("prefix", F.lit(True).alias("split"))
-        )
-        full = cut(full, "prefixes")
-        number = full.count()
-        if not number:
-            return rows.select(*entries.columns, prefix.alias("bucket"))
-        full = F.broadcast(full) if number <= BROADCAST_PREFIXES else full
-        split = F.coalesce("split", F.lit(False)) & F.col("open")
-        rows = rows.join(full, prefix == F.col("prefix"), "left").select(
-            *entries.columns, (F.col("at") + F.when(split, settings.step).otherwise(0)).alias("at"), split.alias("open")
-        )
-
-
-def count_buckets(entries: DataFrame) -> DataFrame:
-    """``h1, h2, first_id, copies`` of each group, by a trie a bucket."""
+        full = _level(entries, splits, deepest, peek).filter(F.col("n") > fits).limit(MOST_SPLITS + 1).collect()
+        if len(splits) + len(full) > MOST_SPLITS:
+            raise ValueError(f"more than {MOST_SPLITS} buckets to split: raise fits")
+        if not full:
+            return splits
+        stuck = False
+        for row in full:
+            bucket, low, high = bytes(row["bucket"]), bytes(row["low"]), bytes(row["high"])
+            shared = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+            stuck |= shared == peek
+            splits[bucket] = len(bucket) + shared + step
+        deepest, peek = max(splits.values()), peek * 4 if stuck else peek
+
+
+def bucketed(entries: DataFrame, settings: RadixSettings) -> DataFrame:
+    """``bucket, key, copies, id, h1, h2`` of entries: the bucket is the prefix at which it fits or its strings end."""
+    number = entries.count()
+    fits = max(settings.fits, -(-number * 8 // MOST_SPLITS))  # so that the table stays small, beyond some billions of strings
+    splits = split_table(entries, fits, settings.step) if number > fits else {}
+    sent = entries.sparkSession.sparkContext.broadcast(splits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [h + r for h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            names = [walk(k, len(k), sent.value)[0] for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.binary()), *(batch.column(k) for k in range(2, 6))], BUCKETED)
+
+    return entries.select("head", "rest", *BUCKETED[2:]).mapInArrow(run, "bucket binary, key binary, copies long, id long, h1 long, h2 long")
+
+
+def count_buckets(entries: DataFrame, tasks: int) -> DataFrame:
+    """``h1, h2, first_id, copies`` of each group, by a trie a bucket; buckets are dealt out to ``tasks`` tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, bucket, held = Trie(), None, 0
@@ -185,8 +263,8 @@ def count_buckets(entries: DataFrame) -> DataFrame:
         yield given()
 
     return (
-        entries.select("bucket", "key", "copies", "id", "h1", "h2")
-        .repartition("bucket")
+        entries.select(*BUCKETED)
+        .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(run, "h1 long, h2 long, first_id long, copies long")
     )
@@ -204,7 +282,9 @@ def format_duplicates(records: DataFrame, settings: RadixSettings = RadixSetting
     """Groups of ``records(id, key)`` with equal canonical bytes ``key``."""
     both = cut(combine(records), "combined")
     entries = both.filter("copies is not null")
-    return FormatDuplicates(cut(count_buckets(bucketed(entries, settings)), "groups"), both.filter("copies is null").select("id", "h1", "h2"))
+    size = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return FormatDuplicates(cut(count_buckets(bucketed(entries, settings), tasks), "groups"), both.filter("copies is null").select("id", "h1", "h2"))
 
 
 def copies_of(found: FormatDuplicates) -> DataFrame:

@@ -15,7 +15,8 @@ import pandas as pd
 
 # letters and numbers in the Unicode sense: what \w holds besides the underscore
 WORD = re.compile(r"[^\W_]+")
-COORDS = 64
+COORDS = 128
+MARKED = 64  # coordinates that the packed bits and nibbles show
 SLICE_CHARS = 4_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,12 +104,12 @@ def minhash(shingles: np.ndarray, number: np.ndarray, coords: int = COORDS, seed
 
 def bits(sig: np.ndarray) -> np.ndarray:
     """One bit of each of 64 coordinates, packed into a 64-bit integer."""
-    return np.packbits((sig[:, :64] & 1).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.packbits((sig[:, :MARKED] & 1).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def nibbles(sig: np.ndarray) -> np.ndarray:
     """Four bits of each of 64 coordinates, packed into four 64-bit integers a row."""
-    low = (sig[:, :64] & 15).astype(np.uint8)
+    low = (sig[:, :MARKED] & 15).astype(np.uint8)
     return ((low[:, 0::2] << 4) | low[:, 1::2]).copy().view(">u8").astype(np.uint64)
 
 
