@@ -101,8 +101,10 @@ def test_quotas_and_sample(spark):
     got = {(r.target_set, r.category): r for r in quota.collect()}
     assert got["s", "A"].sample_rows == 300 and got["s", "c"].wanted == 30
     assert [got["s", c].quota for c in ("A", "b", "c")] == [199, 100, 1]
-    assert {(r.target_set, r.category) for r in quotas.unmet(quota).collect()} == {("s", "c"), ("vazio", "a")}
     drawn = quotas.draw(rows, quota)
+    reported = quotas.report(quota, drawn)
+    assert {(r.target_set, r.category) for r in quotas.unmet(reported).collect()} == {("s", "c"), ("vazio", "a")}
+    assert {(r.category, r.drawn, r.shortfall) for r in reported.filter("target_set = 's'").collect()} == {("A", 199, 0), ("b", 100, 0), ("c", 1, 29)}
     counts = {(r.target_set, r.category): r["count"] for r in drawn.groupBy("target_set", "category").count().collect()}
     assert counts == {("s", "A"): 199, ("s", "b"): 100, ("s", "c"): 1}
     assert drawn.select("id").distinct().count() == 300
@@ -143,11 +145,39 @@ def test_mix(spark):
     total = sum(s[2] for s in sizes if s[1] in ("grande", "pequena"))
     assert {s: r.short for s, r in shares.items()} == {"grande": False, "pequena": True, "ausente": True}
     assert shares["pequena"].given == 3000 and shares["ausente"].given == 0
-    assert abs(shares["grande"].given - 0.4 * total) < 1000
+    assert abs(shares["grande"].given - (total - 3000)) < 1000  # what the two cannot give is made up for
+    assert {r.source for r in mixing.short_sources(mix).collect()} == {"pequena", "ausente"}
     copies = {r.id: r.copies for r in mix.copies.collect()}
     assert set(copies) <= {s[0] for s in sizes if s[2] and s[1] in ("grande", "pequena")} and max(copies.values()) == 3
 
 
+def test_planned_tokens(spark):
+    """Gaps go to the others in proportion, also where that exhausts one of them; an exact mix is smaller."""
+    sizes = spark.createDataFrame([(1, "a", 100), (2, "b", 300), (3, "c", 600)], "id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 50, 2), ("b", 30, 1), ("c", 20, 1)], "source string, target_pct int, max_repeats int")
+    shares = {r.source: r for r in mixing.planned_tokens(mixing.source_shares(sizes, targets)).collect()}
+    assert {s: r.planned for s, r in shares.items()} == {"a": 200, "b": 300, "c": 500}
+    assert shares["a"].exact_tokens == 400 and [r.source for r in shares.values() if r.short] == ["a"]
+    exact = {r.source: r.planned for r in mixing.planned_tokens(mixing.source_shares(sizes, targets), True).collect()}
+    assert exact == {"a": 200, "b": 120, "c": 80}
+    mix = mixing.mix_sources(sizes, targets)
+    assert {r.source: r.given for r in mix.shares.collect()} == {"a": 200, "b": 300, "c": 600} or mix.copies.count() == 2
+    assert [r.source for r in mixing.short_sources(mix).collect()] == ["a"]
+    enough = spark.createDataFrame([("a", 10, 2), ("b", 30, 1), ("c", 60, 1), ("d", 0, 1)], "source string, target_pct int, max_repeats int")
+    mix = mixing.mix_sources(sizes, enough)
+    assert {r.source: r.planned for r in mix.shares.collect()} == {"a": 100, "b": 300, "c": 600, "d": 0}
+    assert mixing.short_sources(mix).count() == 0
+
+
+def test_shares_equal_targets_where_no_source_is_short(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, "xyz"[k % 3], int(rng.integers(20, 300))) for k in range(6000)]
+    targets = spark.createDataFrame([("x", 50, 2), ("y", 30, 2), ("z", 20, 2)], "source string, target_pct int, max_repeats int")
+    for exact in (False, True):
+        mix = mixing.mix_sources(spark.createDataFrame(rows, "id long, source string, tokens long"), targets, exact=exact)
+        assert all(abs(r.actual_pct - r.target_pct) < 0.1 for r in mix.shares.collect())
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "id long, source string, tokens long")
     targets = spark.createDataFrame([("a", 50, 2)], "source string, target_pct int, max_repeats int")

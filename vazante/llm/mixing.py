@@ -1,8 +1,11 @@
 """Combine sources so that each contributes a target share of the total size, by cube sampling.
 
-Sizes are token counts. A source's rate is its wanted tokens over its tokens, at most its repeats
-allowed; every document enters as often as the rate's whole part, and once more with the fractional
-part as inclusion probability. Which documents get the extra copy is decided by the cube method: in
+Sizes are token counts. A source should give its percentage of the tokens of all listed sources. What
+sources that are too small cannot give, even repeated as often as allowed, is shared out among the
+others in proportion to their targets, so the mix keeps its size and its shares differ from the targets
+only because a source is short; with ``exact`` the mix is made smaller instead, to the largest size at
+which every target share is met. A source's rate is its planned tokens over its tokens; every document
+enters as often as the rate's whole part, and once more with the fractional part as inclusion probability. Which documents get the extra copy is decided by the cube method: in
 its flight phase the probabilities of three undecided documents at a time move along the null space
 of the balancing constraints (number of documents and number of tokens) until one of them is 0 or 1.
 Blocks of bounded size fly in parallel, the at most two undecided documents of each block fly again
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -59,6 +63,28 @@ def source_shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def planned_tokens(shares: DataFrame, exact: bool = False) -> DataFrame:
+    """``shares`` with ``planned``, the tokens a source is to give, and ``exact_tokens``, the size of the largest mix that
+    meets every target share.
+
+    Sources are taken in order of capacity over target: each that cannot give its part of what is left gives all it
+    has; the rest is shared out among those after it. Windows run over one row a listed source.
+    """
+    pct, capacity = F.col("target_pct"), F.col("capacity").cast("double")
+    ratio = F.when(pct > 0, capacity / pct)
+    order = W.partitionBy().orderBy(ratio.asc_nulls_last(), "source", "max_repeats")
+    earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    everything = W.partitionBy()
+    level = (F.sum("wanted").over(everything) - F.coalesce(F.sum(F.when(pct > 0, capacity)).over(earlier), F.lit(0.0))) / F.nullif(F.sum(pct).over(later), F.lit(0))
+    known = shares.select(
+        *shares.columns, ratio.alias("__ratio"), level.alias("__level"),
+        F.least(F.min(ratio).over(everything) * 100, F.sum("wanted").over(everything)).alias("exact_tokens"),
+    )
+    last = F.max(F.when(F.col("__ratio") >= F.col("__level"), F.col("__level"))).over(everything)  # of the first that need not give all
+    share = F.least(capacity, pct * F.coalesce(last, F.col("__ratio"))) if not exact else F.col("exact_tokens") * pct / 100
+    return known.withColumn("planned", F.coalesce(F.when(pct > 0, share), F.lit(0.0))).drop("__ratio", "__level")
+
+
 def fly(tokens: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight: decide all but two probabilities at most, keeping their sum and their sum by tokens."""
     p, t = chance.tolist(), tokens.tolist()
@@ -140,11 +166,21 @@ def balanced_draw(units: DataFrame, seed: int = 7) -> DataFrame:
     return out
 
 
-def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> Mix:
-    """Copies of the documents ``sizes(id, source, tokens)`` that make up the target mix, and its shares."""
+def short_sources(mix: Mix) -> DataFrame:
+    """``source`` of the targets that the mix could not meet: all that the source has, repeated as often as allowed, went
+    in and is less than its share of the tokens of all listed sources."""
+    return mix.shares.filter("given = capacity and given * 100 < total * target_pct").select("source")
+
+
+def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 7, exact: bool = False) -> Mix:
+    """Copies of the documents ``sizes(id, source, tokens)`` that make up the target mix, and its shares.
+
+    A source that gives all it has gives each document exactly as often as allowed.
+    """
     sizes = cut(sizes.select("id", "source", "tokens"), "sizes")
-    shares = cut(source_shares(sizes, targets), "shares")
-    rate = F.when(F.col("tokens") > 0, F.least(F.col("wanted") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    shares = cut(planned_tokens(source_shares(sizes, targets), exact), "shares")
+    full = F.col("planned") >= F.col("capacity")
+    rate = F.when(F.col("tokens") > 0, F.when(full, F.col("max_repeats").cast("double")).otherwise(F.col("planned") / F.col("tokens"))).otherwise(0.0)
     rates = shares.groupBy("source").agg(F.max(rate).alias("rate"))
     units = (
         sizes.filter("tokens > 0")

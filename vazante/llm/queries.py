@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import category_name, valid_date
-from ..session import table
+from ..session import cut, table
 from . import chosen_path, mixing, overlap, quality, quotas, radix, subjects, terms, tokens
 
 
@@ -57,6 +57,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.duplicate_pairs(chosen_path.near_duplicates(_texts(spark, folder)))
 
 
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different texts, each by the least id of its rows, and their similarity."""
+    return chosen_path.near_duplicates(_texts(spark, folder)).links.withColumn("similarity", F.round("similarity", 8))
+
+
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     docs = _texts(spark, folder)
     return chosen_path.duplicate_groups(docs, chosen_path.near_duplicates(docs))
@@ -126,17 +131,24 @@ def _quotas(spark: SparkSession, folder: str) -> DataFrame:
     return quotas.quotas(_eligible(spark, folder), targets)
 
 
+def _drawn(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Quotas and the rows drawn for them."""
+    quota = cut(_quotas(spark, folder), "quotas")
+    return quota, quotas.draw(_eligible(spark, folder), quota)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quotas.unmet(_quotas(spark, folder)).select("target_set", "category")
+    return quotas.unmet(quotas.report(*_drawn(spark, folder))).select("target_set", "category")
 
 
 def p7_quotas(spark: SparkSession, folder: str) -> DataFrame:
-    return _quotas(spark, folder)
+    """Every target with its quota, the rows drawn for it and its shortfall."""
+    return quotas.report(*_drawn(spark, folder))
 
 
 def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The drawn rows: target_set, category, article_id."""
-    return quotas.draw(_eligible(spark, folder), _quotas(spark, folder)).withColumnRenamed("id", "article_id")
+    return _drawn(spark, folder)[1].withColumnRenamed("id", "article_id")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +167,7 @@ def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.source_shares(*_sizes(spark, folder)).filter("short").select("source")
+    return mixing.short_sources(mixing.mix_sources(*_sizes(spark, folder)))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_composition": p3_composition,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p4_links": p4_links,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p6_found": p6_found,

@@ -119,6 +119,15 @@ def draw(rows: DataFrame, quota: DataFrame, seed: str = "vazante") -> DataFrame:
     return smallest_keys(keyed, ["target_set", "category"], "quota").select("target_set", "category", "id")
 
 
-def unmet(quota: DataFrame) -> DataFrame:
-    """Targets with fewer eligible rows than wanted."""
-    return quota.filter("available < wanted")
+def report(quota: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``quota`` with the rows ``drawn(target_set, category)`` of each target and its ``shortfall``, 0 if it was met."""
+    counts = drawn.groupBy(F.col("target_set").alias("__set"), F.col("category").alias("__category")).agg(F.count("*").alias("__drawn"))
+    same = (F.col("target_set") == F.col("__set")) & (F.col("category") == F.col("__category"))
+    joined = quota.join(F.broadcast(counts), same, "left").select(*quota.columns, F.coalesce("__drawn", F.lit(0)).alias("drawn"))
+    return joined.withColumn("shortfall", F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0)))
+
+
+def unmet(reported: DataFrame) -> DataFrame:
+    """Of the targets that fell short, those for which there are not enough eligible rows; the others gave rows away to
+    the rounding of shares or to the least rows of other targets."""
+    return reported.filter("shortfall > 0 and available < wanted")

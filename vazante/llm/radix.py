@@ -30,7 +30,7 @@ COMBINE_BYTES = 16_000_000
 TABLE_LIMIT = 100_000
 MOST_SPLITS = 1_000_000  # a few hundred bytes each are broadcast
 HEAD, PEEK = 192, 64
-TASK_BYTES = 64_000_000
+TASK_BYTES, MOST_TASKS = 32_000_000, 50_000  # a task streams its buckets, so it may hold more bytes than that
 PIECE = 16
 
 
@@ -283,7 +283,7 @@ def format_duplicates(records: DataFrame, settings: RadixSettings = RadixSetting
     both = cut(combine(records), "combined")
     entries = both.filter("copies is not null")
     size = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-size // TASK_BYTES)))
     return FormatDuplicates(cut(count_buckets(bucketed(entries, settings), tasks), "groups"), both.filter("copies is null").select("id", "h1", "h2"))
 
 

@@ -2,14 +2,17 @@
 
 The model is linear over averaged embeddings: a word is the mean of the vectors of itself and its
 letter sequences (hashed), a passage the mean of its words, and every subject has a logistic output
-of its own. It is trained in rounds: each partition of the labelled units takes gradient steps from
-the common parameters and returns its update; the updates are averaged and sent out again.
+of its own. It is trained by synchronous steps: the units lie in partitions; in every step each
+partition sums the gradients of its part of the step's batch at the common parameters, and the sums
+of all partitions make one step. So the result does not depend on the number of partitions but for
+which units share a batch.
 
 Training has two stages. First whole labelled documents are the units. The model then tells, within
 each labelled document, which sentences speak of its labels; in the second stage these sentences are
-the units, so that the outputs apply to single sentences. Every document is scored: each sentence
-goes to its strongest subject if that is strong enough, and a document has the subjects of at least
-a quarter of its sentences.
+the units, so that the outputs apply to single sentences. Last, each output gets a bound of its own,
+the middle of those that serve best on the labelled documents. Every document is scored: a sentence
+speaks of every subject whose output is above its bound (of none, one or several), and a document
+has the subjects of at least a quarter of its sentences.
 
 Training takes at most ``most_labelled`` labelled documents (those with the least random keys); scoring
 covers all documents and all their sentences. Null and blank texts and texts of fewer than
@@ -36,27 +39,30 @@ from .sketch import slices, words_of
 
 END = re.compile(r"(?<=[.!?…])[\"”»)']*\s+")
 WORD_CACHE = 200_000
-RATE, OUT_RATE = 2.0, 0.2
+CACHED_LENGTH = 60
+MOST_SHARDS = 32
+BOUNDS = np.arange(-12, 13) / 8  # candidates for the outputs' bounds
 _rows: dict[str, list[int]] = {}
 
 
 @dataclass(frozen=True)
 class SubjectSettings:
     """most_labelled: bound of the training sample; buckets, width: size of the embedding table;
-    shards: partitions that train; least_units: units a shard goes through in a round, again and again if it has
-    fewer; document_rounds, sentence_rounds: synchronisations of each stage;
-    sure, strong: least logits for a sentence to train on, and to count, for its subject."""
+    shard_units: units a partition holds at least, if there are as many cores; document_passes, sentence_passes: times
+    each stage goes through its units; document_batches, sentence_batches: steps of a pass; rate, out_rate: first step
+    sizes, which fall to zero; sure: least logit for a sentence to train on for its subject."""
 
     most_labelled: int = 3_000
     buckets: int = 1 << 15
     width: int = 16
-    shards: int = 4
-    document_rounds: int = 8
-    sentence_rounds: int = 4
-    batch: int = 32
-    least_units: int = 600
+    shard_units: int = 200
+    document_passes: int = 6
+    document_batches: int = 4
+    sentence_passes: int = 6
+    sentence_batches: int = 5
+    rate: float = 0.7
+    out_rate: float = 0.05
     sure: float = -1.0
-    strong: float = -1.0
     least_share: float = 0.25
     min_words: int = 20
 
@@ -86,75 +92,42 @@ def word_rows(word: str, buckets: int) -> list[int]:
     if known is None:
         if len(_rows) >= WORD_CACHE:
             _rows.clear()
-        marked = f"<{word[:60]}>"
+        marked = f"<{word}>"
         grams = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
         known = [zlib.crc32(g.encode()) for g in sorted(grams)]
-        _rows[word] = known
+        if len(word) <= CACHED_LENGTH:
+            _rows[word] = known
     return [k % buckets for k in known]
 
 
 @dataclass
 class Model:
-    """Embedding table, outputs and biases with their accumulated squared gradients."""
+    """Embedding table, outputs, biases and the bound of each output."""
 
     table: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    seen: tuple[np.ndarray, np.ndarray, np.ndarray]
+    bounds: np.ndarray
 
     @classmethod
     def new(cls, settings: SubjectSettings, subjects: int) -> Model:
-        rng = np.random.default_rng(5)
-        out = (rng.normal(0, 1, (settings.width, subjects)) / np.sqrt(settings.width)).astype(np.float32)
-        low = np.float32(1e-6)
-        return cls(
-            np.zeros((settings.buckets, settings.width), np.float32), out, np.full(subjects, -2, np.float32),
-            (np.full(settings.buckets, low), np.full(out.shape, low), np.full(subjects, low)),
-        )
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.table, self.out, self.bias, *self.seen]
-
-    def step(self, units: list[list[str]], wanted: np.ndarray) -> None:
-        """One adaptive gradient step on a batch of units."""
+        out = np.random.default_rng(5).normal(0, 1, (settings.width, subjects)) / np.sqrt(settings.width)
+        return cls(np.zeros((settings.buckets, settings.width), np.float32), out.astype(np.float32), np.full(subjects, -2, np.float32), np.zeros(subjects))
+
+    def gradients(self, units: list[list[str]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the table that the units touch and the sums of their gradients, and those of outputs and biases."""
         codes, words = pd.factorize(np.array([w for u in units for w in u], dtype=object))
-        row = np.repeat(np.arange(len(units)), [len(u) for u in units])
-        share = np.bincount(row * len(words) + codes, minlength=len(units) * len(words)).reshape(len(units), -1).astype(np.float32)
-        share /= share.sum(1, keepdims=True)
+        size = np.array([len(u) for u in units])
         lists = [word_rows(w, len(self.table)) for w in words]
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate(lists)
-        starts = np.cumsum(length) - length
-        vectors = np.add.reduceat(self.table[flat], starts, axis=0) / length[:, None].astype(np.float32)
-        hidden = share @ vectors
-        error = (1 / (1 + np.exp(-(hidden @ self.out + self.bias))) - wanted) / len(units)
-        back = share.T @ (error @ self.out.T) / length[:, None]
-        grads = [hidden.T @ error, error.sum(0)]
-        rows, place = np.unique(flat, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order], np.arange(len(rows)))
-        grad = np.add.reduceat(np.repeat(back, length, axis=0)[order], ends, axis=0).astype(np.float32)
-        self.seen[0][rows] += (grad**2).mean(1)
-        self.table[rows] -= RATE * grad / np.sqrt(self.seen[0][rows])[:, None]
-        for value, seen, g in zip((self.out, self.bias), self.seen[1:], grads):
-            seen += g**2
-            value -= (OUT_RATE * g / np.sqrt(seen)).astype(np.float32)
-
-    def take(self, updates: list[tuple[int, np.ndarray]]) -> None:
-        """Average the shards' updates: a row of the table over the shards that moved it, the outputs
-        over all by their units; squared gradients add up."""
-        arrays = self.arrays()
-        ends = np.cumsum([0, *(a.size for a in arrays)])
-        total = sum(n for n, _ in updates)
-        moved = np.zeros(len(self.table), np.float32)
-        for n, flat in updates:
-            parts = [flat[a:b].reshape(x.shape) for a, b, x in zip(ends, ends[1:], arrays)]
-            moved += parts[3] > 0
-            for k, part in enumerate(parts):
-                arrays[k] += part * np.float32(n / total) if k in (1, 2) else 0 if k == 0 else part
-        weight = 1 / np.maximum(moved, 1)[:, None]
-        for _, flat in updates:
-            self.table += weight * flat[: self.table.size].reshape(self.table.shape)
+        vectors = np.add.reduceat(self.table[flat], np.cumsum(length) - length, axis=0) / length[:, None].astype(np.float32)
+        hidden = np.add.reduceat(vectors[codes], np.cumsum(size) - size, axis=0) / size[:, None].astype(np.float32)
+        error = 1 / (1 + np.exp(-(hidden @ self.out + self.bias))) - wanted
+        back = (error @ self.out.T) / size[:, None]
+        by_word = _summed(codes, np.repeat(np.arange(len(units)), size), back)[1] / length[:, None]
+        rows, by_row = _summed(flat, np.repeat(np.arange(len(words)), length), by_word)
+        return rows, by_row.astype(np.float32), (hidden.T @ error).astype(np.float32), error.sum(0).astype(np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """What each word adds to the logits, before averaging."""
@@ -164,36 +137,98 @@ class Model:
         return (sums / length[:, None].astype(np.float32)) @ self.out
 
 
-def _train(units: DataFrame, model: Model, settings: SubjectSettings, rounds: int) -> Model:
-    """Synchronous rounds over ``units(words array<string>, targets array<float>)``."""
+def _summed(keys: np.ndarray, source: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and, for each, the sum of ``values[source]`` of its places."""
+    order = np.argsort(keys, kind="stable")
+    there = keys[order]
+    starts = np.flatnonzero(np.diff(there, prepend=-1))
+    return there[starts], np.add.reduceat(values[source[order]], starts, axis=0)
+
+
+class Moments:
+    """Steps by running means of gradients and of their squares (one a row of the table), of falling size."""
+
+    def __init__(self, model: Model, settings: SubjectSettings, steps: int) -> None:
+        self.model, self.settings, self.steps, self.done = model, settings, steps, 0
+        arrays = (model.table, model.out, model.bias)
+        self.mean = [np.zeros_like(a) for a in arrays]
+        self.square = [np.zeros((len(model.table), 1), np.float32), *(np.zeros_like(a) for a in arrays[1:])]
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        keep, keep_square = 0.9, 0.98
+        size = 1 - self.done / self.steps
+        self.done += 1
+        for k, (value, g) in enumerate(zip((self.model.table, self.model.out, self.model.bias), gradients)):
+            square = (g**2).mean(1, keepdims=True) if k == 0 else g**2
+            self.mean[k] = keep * self.mean[k] + (1 - keep) * g
+            self.square[k] = keep_square * self.square[k] + (1 - keep_square) * square
+            root = np.sqrt(self.square[k] / (1 - keep_square**self.done)) + 1e-8
+            rate = size * (self.settings.out_rate if k else self.settings.rate) / (1 - keep**self.done)
+            value -= (rate * self.mean[k] / root).astype(np.float32)
+
+
+def _train(units: DataFrame, model: Model, settings: SubjectSettings, passes: int, batches: int) -> Model:
+    """Synchronous steps over ``units(words array<string>, targets array<float>)``, which are partitioned once."""
     spark = units.sparkSession
-    spread = cut(units.repartition(settings.shards), "units").repartition(settings.shards)
-    for k in range(rounds):
+    held = cut(units.filter("size(words) > 0"), "units")
+    shards = max(1, min(MOST_SHARDS, spark.sparkContext.defaultParallelism, held.count() // settings.shard_units))
+    batch = F.pmod(F.xxhash64("words"), F.lit(batches)).cast("int")
+    spread = cut(held.withColumn("batch", batch).repartition(shards, F.xxhash64("words", F.lit(1))), "shards").persist()  # bounded; what is lost is read again
+    moments = Moments(model, settings, passes * batches)
+    for k in range(passes * batches):
         sent = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+        def run(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             words: list = []
             wanted: list = []
-            for batch in batches:
-                words += batch.column(0).to_pylist()
-                wanted += batch.column(1).to_pylist()
-            if not words:
-                return
-            own = Model(*(a.copy() for a in sent.value.arrays()[:3]), tuple(a.copy() for a in sent.value.seen))
-            targets = np.array(wanted, np.float32)
-            rng = np.random.default_rng([k, len(words)])
-            for _ in range(-(-settings.least_units // len(words))):
-                order = rng.permutation(len(words))
-                for at in range(0, len(order), settings.batch):
-                    some = order[at : at + settings.batch]
-                    own.step([words[i] for i in some], targets[some])
-            moved = [(a - b).astype(np.float32) for a, b in zip(own.arrays(), sent.value.arrays())]
-            data = zlib.compress(b"".join(m.tobytes() for m in moved), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([len(words)]), pa.array([data], pa.binary())], ["units", "moved"])
-
-        parts = spread.mapInArrow(run, "units long, moved binary").collect()
-        model.take([(n, np.frombuffer(zlib.decompress(bytes(data)), np.float32)) for n, data in parts])
+            for some in rows:
+                words += some.column(0).to_pylist()
+                wanted += some.column(1).to_pylist()
+            if words:
+                place, *sums = sent.value.gradients(words, np.array(wanted, np.float32))
+                data = [pa.array([x.tobytes()], pa.binary()) for x in (place.astype(np.int32), *sums)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(words)]), *data], ["units", "place", "rows", "out", "bias"])
+
+        parts = spread.filter(F.col("batch") == k % batches).select("words", "targets").mapInArrow(run, "units long, place binary, rows binary, out binary, bias binary").collect()
+        total = sum(p["units"] for p in parts)
+        sums = [np.zeros_like(a) for a in (model.table, model.out, model.bias)]
+        for p in parts:
+            sums[0][np.frombuffer(p["place"], np.int32)] += np.frombuffer(p["rows"], np.float32).reshape(-1, settings.width)
+            sums[1] += np.frombuffer(p["out"], np.float32).reshape(model.out.shape)
+            sums[2] += np.frombuffer(p["bias"], np.float32)
+        if total:
+            moments.step([x / np.float32(total) for x in sums])
         sent.unpersist()
+    spread.unpersist()
+    return model
+
+
+def _with_bounds(sample: DataFrame, model: Model, subjects: list[str], settings: SubjectSettings) -> Model:
+    """The model with the bound of each output that gives the best F1 on the labelled documents (of several in a row
+    that do, the middle one)."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+    shape = (3, len(subjects), len(BOUNDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(shape, np.int64)
+        for batch in batches:
+            for text, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                parts = sentences(text)
+                if sum(map(len, parts)) < settings.min_words:
+                    continue
+                logits = np.array([sent.value.word_scores(w).mean(0) + sent.value.bias for w in parts])
+                said = (logits[:, :, None] > BOUNDS).sum(0) >= len(parts) * settings.least_share
+                true = np.isin(subjects, names)[:, None]
+                counts += np.stack([said & true, said & ~true, ~said & true])
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    tp, fp, fn = sum(np.frombuffer(r[0], np.int64).reshape(shape) for r in sample.mapInArrow(run, "counts binary").collect())
+    score = 2 * tp / np.maximum(2 * tp + fp + fn, 1)
+    for k, row in enumerate(score):
+        best = np.flatnonzero(row >= row.max() - 1e-12)
+        runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+        longest = max(runs, key=lambda r: (len(r), -abs(BOUNDS[r].mean())))
+        model.bounds[k] = BOUNDS[longest].mean() if row.max() > 0 else 0.0
     return model
 
 
@@ -233,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: SubjectSettings = Subjec
     model = Model.new(settings, len(subjects))
     if not subjects:
         return model, subjects
-    model = _train(sample.mapInArrow(whole, unit), model, settings, settings.document_rounds)
+    model = _train(sample.mapInArrow(whole, unit), model, settings, settings.document_passes, settings.document_batches)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: SubjectSettings = Subjec
             yield batch_of(rows)
 
     units = sample.mapInArrow(spoken, unit)
-    return _train(units, Model.new(settings, len(subjects)), settings, settings.sentence_rounds), subjects
+    model = _train(units, Model.new(settings, len(subjects)), settings, settings.sentence_passes, settings.sentence_batches)
+    return _with_bounds(sample, model, subjects, settings), subjects
 
 
 def score(docs: DataFrame, model: Model, subjects: list[str], settings: SubjectSettings = SubjectSettings()) -> DataFrame:
@@ -292,11 +328,10 @@ def score(docs: DataFrame, model: Model, subjects: list[str], settings: SubjectS
                 scores = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
                 size = np.array(sizes)
                 logits = np.add.reduceat(scores[codes], np.cumsum(size) - size, axis=0) / size[:, None] + sent.value.bias
-                best = logits.argmax(1)
-                sure = logits[np.arange(len(best)), best] > settings.strong
+                said, about = np.nonzero(logits > sent.value.bounds)
                 doc = np.array(owner)
                 total = np.bincount(doc - lo, minlength=hi - lo)
-                key, number = np.unique(doc[sure] * len(subjects) + best[sure], return_counts=True)
+                key, number = np.unique(doc[said] * len(subjects) + about, return_counts=True)
                 row, subject = key // len(subjects), key % len(subjects)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row]), pa.array(names[subject], pa.string()), pa.array(number), pa.array(total[row - lo])],

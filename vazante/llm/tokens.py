@@ -1,13 +1,14 @@
 """Token ids of a corpus by a public byte-level tokenizer.
 
-Texts are cut into pieces by the tokenizer's pattern. The most frequent pieces of the whole corpus
-are counted in one pass, their ids compiled into a minimal acyclic transducer, and the file is put
-into the shared folder and distributed to every node, where workers map it into memory. A batch
-looks up each distinct piece once; pieces the lexicon lacks are merged exactly by the ranks of the
-vocabulary. Lists are then gathered by array operations.
-
-Null and empty texts give an empty list. The lexicon has a fixed number of entries: it only decides
-how often exact merging runs, never the ids. Long texts are cut into pieces as a whole.
+Texts are cut into pieces by the tokenizer's pattern. The most frequent pieces of a bounded sample of
+documents are compiled with their ids into a minimal acyclic transducer, and the file is put into the
+shared folder and distributed to every node, where workers map it into memory. A batch looks up each
+distinct piece once; pieces the lexicon lacks are merged exactly by the ranks of the vocabulary (the
+merging itself, for the lexicon too, is that of the public package that reads such rank files). Lists
+are then gathered by array operations.
+
+Null and empty texts give an empty list. The sample and the lexicon (bounded in entries and bytes)
+only decide how often exact merging runs, never the ids. Every text is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,11 +45,15 @@ CACHE_LIMIT = 200_000
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A rank file of a public tokenizer and the number of pieces its lexicon holds."""
+    """A rank file of a public tokenizer; entries, entry_bytes: pieces that its lexicon holds at most, and bytes of
+    one; sample, sample_tasks: documents whose pieces are counted for it, and partitions they are taken from."""
 
     name: str = "byte_bpe_50k"
     folder: str = TOKENIZER_DIR
     entries: int = 32_768
+    entry_bytes: int = 64
+    sample: int = 8_000
+    sample_tasks: int = 64
 
     @property
     def path(self) -> str:
@@ -95,27 +101,29 @@ def _distribute(spark: SparkSession, data: bytes, name: str) -> str:
     return os.path.basename(path)
 
 
-def frequent_pieces(texts: DataFrame, number: int) -> list[str]:
-    """The ``number`` most frequent pieces of the single text column, over all rows."""
+def frequent_pieces(texts: DataFrame, vocabulary: Vocabulary) -> list[str]:
+    """The most frequent pieces in a sample of the single text column: the first documents of evenly spaced partitions.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def given() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
-            held.clear()
-            return out
+    Only those partitions are read, and only as far as needed; a task returns at most ``entries`` pieces.
+    """
+    rows = texts.rdd
+    number = rows.getNumPartitions()
+    chosen = sorted({k * number // vocabulary.sample_tasks for k in range(vocabulary.sample_tasks)}) if number else []
+    each, entries, longest = -(-vocabulary.sample // max(1, len(chosen))), vocabulary.entries, vocabulary.entry_bytes
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    held.update(PIECE.findall(text))
-                    if len(held) > COUNT_LIMIT:
-                        yield given()
-        yield given()
+    def count(part: Iterator) -> list[tuple[str, int]]:
+        held: Counter = Counter()
+        for (text,) in islice(part, each):
+            if text:
+                held.update(PIECE.findall(text))
+            if len(held) > COUNT_LIMIT:
+                held = Counter(dict(held.most_common(entries)))
+        return [x for x in held.most_common(entries) if len(x[0].encode()) <= longest]
 
-    counts = texts.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "piece").limit(number).collect()]
+    total: Counter = Counter()
+    for piece, n in rows.context.runJob(rows, count, chosen) if chosen else []:
+        total[piece] += n
+    return [p for p, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:entries]]
 
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,7 +163,7 @@ def _encode(texts: list, lexicon: Lexicon, merger: Merger, ids: bool) -> tuple[n
 def _with_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> tuple[str, str]:
     spark = docs.sparkSession
     merger = Merger(vocabulary.path)
-    common = frequent_pieces(docs.select("text"), vocabulary.entries)
+    common = frequent_pieces(docs.select(F.col("text").cast("string")), vocabulary)
     lexicon = compile_lexicon((p.encode(), merger.ids(p)) for p in common)
     with open(vocabulary.path, "rb") as ranks:
         return _distribute(spark, lexicon, "lexicon"), _distribute(spark, ranks.read(), "ranks")
