@@ -89,3 +89,11 @@ def test_calendar(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "raw string")
     assert R.rejected_rows(df, "raw", R.ARTICLE_ROW).count() == 0 and R.valid_rows(df, "raw", R.ARTICLE_ROW).count() == 0
+
+
+def test_clashing_names_and_all_fields(spark):
+    lines = ['a,b,2015-01-01,c,d,e', ',,,,,', '"x ""y"", z",t,,"","q\r\nr",', '"a"b,,,,,', None]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(lines)], "line_id long, raw string, __fields int, __why int")
+    got = {r.line_id: tuple(r[f.name] for f in R.ARTICLE_ROW.fields) for r in R.valid_rows(df, "raw", R.ARTICLE_ROW).collect()}
+    assert got == {0: ("a", "b", "2015-01-01", "c", "d", "e"), 1: (None,) * 6, 2: ('x "y", z', "t", None, None, "q\r\nr", None)}
+    assert {r.line_id: r["__why"] for r in R.rejected_rows(df, "raw", R.ARTICLE_ROW).collect()} == {3: 2, 4: 2}

@@ -132,3 +132,28 @@ def test_kernel_tests_see_a_change_between_small_windows(spark):
     for test in ("KTS", "LSDD"):
         same = sorted(got[k, test] for k in range(2, 21))
         assert 0.25 < same[9] < 0.75 and same[3] > 0.05
+
+
+def test_kernel_tests_agree_with_whole_matrices(spark):
+    """Equal windows are calm and shifted ones are seen by both forms; statistics are close."""
+    rng = np.random.default_rng(9)
+    data = [rng.normal(shift, 1, (90, 3)) for shift in (0, 0, 0, 1.2, 1.2, 0)]
+    rows = [(k, w, f"w{w}", [float(v) for v in x]) for k, (w, x) in enumerate((w, x) for w, own in enumerate(data) for x in own)]
+    df = spark.createDataFrame(rows, "id long, janela_idx int, rotulo string, embedding array<double>")
+    quick, whole = ({(r.par, r.teste): r for r in f(df).collect()} for f in (D.kernel_tests, D.exact_kernel_tests))
+    assert set(quick) == set(whole) and len(whole) == 10
+    for (par, test), r in whole.items():
+        if par in (2, 4):
+            assert r.p_value < 0.03 and quick[par, test].p_value < 0.03
+        else:
+            assert r.p_value > 0.03 and quick[par, test].p_value > 0.03
+        if test == "KTS":
+            assert abs(r.estatistica - quick[par, test].estatistica) < 0.1  # 256 random features: a deviation of about 0.03
+    with pytest.raises(ValueError, match="more than"):
+        D.exact_kernel_tests(df, most=100)
+
+
+def test_all_duplicates(spark):
+    rows = spark.createDataFrame(list(enumerate(_copies_and_edits())), "id long, text string")
+    exact, near = U.all_duplicates(rows, ["text"])
+    assert exact.first().linhas_duplicadas == 4 and near.pairs.count() == 1

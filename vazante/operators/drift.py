@@ -7,7 +7,7 @@ coordinates, ranks, or kernel features, so a window may hold any number of rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -301,6 +301,39 @@ def kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, fea
     return parts.groupBy("par").applyInPandas(test, "par int, teste string, p_value double, estatistica double")
 
 
+def exact_kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026, most: int = 2_000) -> DataFrame:
+    """The columns of :func:`kernel_tests` from whole kernel matrices, one pair of windows in one task.
+
+    For small windows, and to compare with: the discrepancy is that of all rows, the density difference has a centre
+    at every row, and sides are permuted rather than redrawn. Bandwidth is the median distance of the pair's rows.
+    Pairs of more than ``most`` rows are an error.
+    """
+    sided = pair_rows(rows).select("par", "lado", "id", "embedding")
+    largest = sided.groupBy("par").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a pair of windows has {largest} rows, more than {most}: use kernel_tests")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, side = np.array(pdf["embedding"].tolist(), float), pdf["lado"].to_numpy()
+        gaps = _squares(x, x)
+        above = gaps[np.triu_indices(len(x), 1)]
+        sigma2 = max(float(np.median(above)), 1e-18) if len(above) else 1.0
+        near, wide = np.exp(-gaps / (2 * sigma2)), np.exp(-gaps / (4 * sigma2))
+        rng = np.random.default_rng([seed, int(pdf["par"].iloc[0])])
+        sides = np.stack([side, *(rng.permutation(side) for _ in range(permutations))])
+        later = sides == 1
+        signs = later / np.maximum(later.sum(1, keepdims=True), 1) - ~later / np.maximum((~later).sum(1, keepdims=True), 1)
+        h = signs @ near
+        mmd = (h * signs).sum(1)
+        theta = np.linalg.solve(wide + 0.1 * np.eye(len(x)), h.T).T
+        lsdd = 2 * (theta * h).sum(1) - ((theta @ wide) * theta).sum(1)
+        out = [(pdf["par"].iloc[0], name, float((v[1:] >= v[0] - 1e-12).mean()), float(v[0])) for name, v in (("KTS", mmd), ("LSDD", lsdd))]
+        return pd.DataFrame(out, columns=["par", "teste", "p_value", "estatistica"])
+
+    return sided.groupBy("par").applyInPandas(test, "par int, teste string, p_value double, estatistica double")
+
+
 def all_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026) -> DataFrame:
     """The four tests of all neighbouring windows."""
     return combined(ks_statistics(rows), "KS").union(combined(cvm_statistics(rows), "CVM")).union(kernel_tests(rows, permutations, seed))
@@ -400,6 +433,30 @@ def without_window(results: DataFrame, label: str = "2017-10", granularity: str
     return results.filter(~((F.col("granularidade") == granularity) & touches))
 
 
+def dropped_rows(results: DataFrame, label: str = "2017-10", granularity: str = "mensal") -> DataFrame:
+    """``granularidade, escopo, linhas``: rows that :func:`without_window` leaves out of each; 0 where none."""
+    every = results.groupBy("granularidade", "escopo").agg(F.count("*").alias("n"))
+    left = without_window(results, label, granularity).groupBy("granularidade", "escopo").agg(F.count("*").alias("m"))
+    return every.join(left, ["granularidade", "escopo"], "left").select("granularidade", "escopo", (F.col("n") - F.coalesce("m", F.lit(0))).alias("linhas"))
+
+
+def restricted(rows: DataFrame, granularities: Sequence[str] | None = None, scopes: Sequence[str] | None = None) -> DataFrame:
+    """Rows of some granularities and scopes; None stands for all."""
+    for column, values in (("granularidade", granularities), ("escopo", scopes)):
+        if values is not None:
+            rows = rows.filter(F.col(column).isin(list(values)))
+    return rows
+
+
+def paired_conditions(results: DataFrame) -> DataFrame:
+    """``escopo, teste, par_idx, ordenado, medio, minimo, maximo``: the p value in time at each pair index beside those of
+    the randomised repetitions at the same index. Indexes that one condition lacks have nulls there."""
+    rows = pair_index(results)
+    ordered = rows.filter("condicao = 'time_ordered'").groupBy("escopo", "teste", "par_idx").agg(F.min("p_value").alias("ordenado"))
+    drawn = rows.filter("condicao = 'randomized'").groupBy("escopo", "teste", "par_idx").agg(F.avg("p_value").alias("medio"), F.min("p_value").alias("minimo"), F.max("p_value").alias("maximo"))
+    return ordered.join(drawn, ["escopo", "teste", "par_idx"], "full")
+
+
 def main_runs(runs: DataFrame) -> DataFrame:
     """The run of each granularity and scope: no smoke run, most rows, then the latest."""
     order = W.partitionBy("granularidade", "escopo").orderBy(F.desc("n"), F.desc("ts"))

@@ -116,6 +116,11 @@ def near_pairs(texts: DataFrame, threshold: float = 0.85, coordinates: int = 128
     return NearPairs(cut(pairs, "near-pairs"), members)
 
 
+def all_duplicates(rows: DataFrame, columns: list[str], threshold: float = 0.85) -> tuple[DataFrame, NearPairs]:
+    """The exact report on ``columns`` and the near pairs of ``text`` of ``rows(id, text, ...)``."""
+    return exact_report(rows, columns), near_pairs(rows.select("id", "text"), threshold)
+
+
 def near_components(found: NearPairs) -> DataFrame:
     """``id, componente`` of every row in a component of at least two rows, copies included."""
     parts = connected_components(found.pairs)

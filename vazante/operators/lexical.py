@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +17,9 @@ from ..session import cut
 from .sampling import random_key, smallest_keys
 
 
+MOST_TERMS = 1_000_000  # of a vocabulary that is broadcast
+
+
 def token_counts(docs: DataFrame, group: str | None = None, words: Column | None = None) -> DataFrame:
     """``[group,] token, n`` over ``docs``; by default all words without stop words of ``text``."""
     by = [group] if group else []
@@ -51,21 +59,55 @@ def sample_by_category(docs: DataFrame, n: int, seed: str) -> DataFrame:
     return smallest_keys(keyed, ["category"], "quota").select("id", "category").join(rows.select("id", "text"), "id")
 
 
+def _unit_sums(words: DataFrame, idf: DataFrame) -> DataFrame:
+    """``category, token, s``: sums over documents ``words(category, tokens)`` of their weights at unit length.
+
+    Where the weighed vocabulary has at most MOST_TERMS terms it is sent to all tasks, which then need each document
+    only once and hand on sums; a larger one is joined.
+    """
+    if idf.count() > MOST_TERMS:
+        place = words.withColumn("id", F.monotonically_increasing_id())
+        tf = place.select("id", "category", F.explode("tokens").alias("token")).groupBy("id", "category", "token").agg(F.count("*").alias("tf"))
+        weighed = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a document's tokens
+        return weighed.withColumn("unit", F.col("w") / norm).groupBy("category", "token").agg(F.sum("unit").alias("s"))
+    sent = words.sparkSession.sparkContext.broadcast({r["token"]: r["idf"] for r in idf.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            codes, terms = pd.factorize(lists.flatten().to_numpy(zero_copy_only=False))
+            weight = np.array([sent.value.get(t, 0.0) for t in terms])
+            kinds, names = pd.factorize(np.array(batch.column(0).to_pylist(), dtype=object))
+            if not len(codes) or not weight.any():
+                continue
+            cell, tf = np.unique(doc * len(terms) + codes, return_counts=True)
+            doc, code = cell // len(terms), cell % len(terms)
+            w = tf * weight[code]
+            norm = np.sqrt(np.bincount(doc, w * w, batch.num_rows))[doc]
+            used = w > 0
+            key, at = np.unique(kinds[doc[used]] * len(terms) + code[used], return_inverse=True)
+            s = np.bincount(at, w[used] / norm[used])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(names, object)[key // len(terms)], pa.string()), pa.array(np.asarray(terms, object)[key % len(terms)], pa.string()), pa.array(s)], ["category", "token", "s"]
+            )
+
+    return words.mapInArrow(run, "category string, token string, s double").groupBy("category", "token").agg(F.sum("s").alias("s"))
+
+
 def tfidf_top(docs: DataFrame, k: int = 30, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
     """``categoria, rank, token, tfidf_mean`` of the highest mean weights in each category of ``docs(id, category, text)``.
 
     Weights are counts times ln((1+N)/(1+df))+1, scaled to unit length by document; the mean is over all
     documents of the category, those without the token included.
     """
-    total = docs.agg(F.count("*").alias("total"))
     sizes = docs.groupBy("category").agg(F.count("*").alias("docs"))
-    words = docs.select("id", "category", F.explode(letter_tokens(F.col("text"))).alias("token"))
-    tf = cut(words.groupBy("id", "category", "token").agg(F.count("*").alias("tf")), "term-counts")  # read three times
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))
-    idf = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("total"))).select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a document's tokens
-    sums = weighed.withColumn("unit", F.col("w") / norm).groupBy("category", "token").agg(F.sum("unit").alias("s"))
+    words = cut(docs.select("category", letter_tokens(F.col("text")).alias("tokens")), "words")
+    total = words.count()
+    df = words.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = cut(df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    sums = _unit_sums(words, idf)
     mean = sums.join(sizes, "category").select(F.col("category").alias("categoria"), "token", F.round(F.col("s") / F.col("docs"), 10).alias("tfidf_mean"))
     rank = F.row_number().over(W.partitionBy("categoria").orderBy(F.desc("tfidf_mean"), "token"))
     return mean.withColumn("rank", rank).filter(F.col("rank") <= k).select("categoria", "rank", "token", "tfidf_mean")

@@ -64,9 +64,9 @@ class RowSchema:
         ruled = [(k, f) for k, f in enumerate(self.fields) if f.reason]
         return sorted(ruled, key=lambda kf: self.order.index(kf[1].reason)) if self.order else ruled
 
-    def whole(self, groups: bool = False) -> str:
-        """The anchored pattern of a valid row, with one group a field if asked for."""
-        return "\\A" + ",".join(f"({f.pattern()})" if groups else f.pattern() for f in self.fields) + "\\z"
+    def whole(self) -> str:
+        """The anchored pattern of a valid row."""
+        return "\\A" + ",".join(f.pattern() for f in self.fields) + "\\z"
 
     def readable(self) -> str:
         """Any number of well-quoted fields."""
@@ -109,20 +109,32 @@ def _others(df: DataFrame, raw: str, names: set[str]) -> list[Column]:
     return [F.col(f"`{c}`").alias(f"input_{c}" if c in names else c) for c in df.columns if c != raw]
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def valid_rows(df: DataFrame, raw: str, schema: RowSchema) -> DataFrame:
     """The valid records as one string column a field (empty values are null), beside the other columns."""
     names = {f.name for f in schema.fields}
-    fields = [_unquoted(F.regexp_extract(F.col(raw), schema.whole(groups=True), k + 1)).alias(f.name) for k, f in enumerate(schema.fields)]
-    return df.filter(F.col(raw).rlike(schema.whole())).select(*_others(df, raw, names), *fields)
+    # one pass finds all fields: each follows a comma, one being put before the first
+    held = _free(df, "__fields")
+    each = "\\G,(" + FieldRule("").pattern() + ")"
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.col(raw)), F.lit(each), F.lit(1))
+    kept = df.filter(F.col(raw).rlike(schema.whole())).select("*", found.alias(held))
+    fields = [_unquoted(F.get(held, F.lit(k))).alias(f.name) for k, f in enumerate(schema.fields)]
+    return kept.select(*_others(df, raw, names), *fields)
 
 
 def rejected_rows(df: DataFrame, raw: str, schema: RowSchema) -> DataFrame:
     """The other records with ``reason`` and ``broken_field``."""
-    names = {"reason", "broken_field"}
+    names, why = {"reason", "broken_field"}, _free(df, "__why")
     return (
-        df.withColumn("__why", failure_reason(F.col(raw), schema))
-        .filter("__why is not null")
-        .select(*_others(df, raw, names), F.col(raw), F.col("__why").alias("reason"), broken_field(F.col(raw), schema).alias("broken_field"))
+        df.withColumn(why, failure_reason(F.col(raw), schema))
+        .filter(F.col(why).isNotNull())
+        .select(*_others(df, raw, names), F.col(raw), F.col(why).alias("reason"), broken_field(F.col(raw), schema).alias("broken_field"))
     )
 
 

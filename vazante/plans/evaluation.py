@@ -84,6 +84,14 @@ def _table(spark: SparkSession, folder: str) -> DataFrame:
     return D.p_value_table(D.without_window(_results(spark, folder)))
 
 
+def annex(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of fortnightly runs: beside the monthly ones, the first fortnights of the same pairs of months stand for them."""
+    results = _results(spark, folder)
+    first = lambda c: F.concat(F.col(c), F.lit("-01_"), F.col(c), F.lit("-14"))
+    fortnights = results.withColumns({"janela_a": first("janela_a"), "janela_b": first("janela_b"), "granularidade": F.lit("bisemanal")})
+    return rounded(D.restricted(D.p_value_table(D.without_window(results.union(fortnights))), ["bisemanal"]))
+
+
 def _some(where: str):
     return lambda s, d: rounded(_table(s, d).filter(where))
 
@@ -137,7 +145,9 @@ QUERIES = {
     "tabela_p_values": lambda s, d: rounded(_table(s, d)),
     "tabela_replica": _some("escopo = 'global' and granularidade = 'mensal'"),
     "tabela_condicional": _some("escopo in ('mercado', 'nao_mercado') and granularidade = 'mensal'"),
-    "tabela_anexo_bisemanal": _some("granularidade = 'bisemanal'"),
+    "tabela_anexo_bisemanal": annex,
+    "condicoes_pareadas": lambda s, d: rounded(D.paired_conditions(_results(s, d))),
+    "linhas_descartadas": lambda s, d: D.dropped_rows(_results(s, d)),
     "gap_condicoes": lambda s, d: rounded(D.condition_gap(_table(s, d))),
     "envelope_kts": lambda s, d: D.envelope(_results(s, d)),
 }
@@ -206,13 +216,19 @@ ORACLE_SQL = {
     "cosseno_cumulativo": f"WITH {_V}, {_WIN}, {_CEN}, h AS (SELECT rotulo AS jb, janela_idx, lag(rotulo) OVER q AS ja, v AS b, avg(v) OVER (PARTITION BY dim ORDER BY janela_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM c WINDOW q AS (PARTITION BY dim ORDER BY janela_idx)) SELECT 'cumulative_cosine' AS metrica, 'historico_ate_' || ja AS janela_a, jb AS janela_b, {_COS} FROM h WHERE ja IS NOT NULL GROUP BY ja, jb",
     "ks_por_dimensao": f"WITH {_V}, {_WIN}, {_CEN}, {_DIM} SELECT par, dim, round(max(abs(ca / n::DOUBLE - cb / m::DOUBLE)), 8) AS estatistica, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM s GROUP BY par, dim",
     "cvm_por_dimensao": f"WITH {_V}, {_WIN}, {_CEN}, {_DIM} SELECT par, dim, round(sum((a + b) * pow(ca / n::DOUBLE - cb / m::DOUBLE, 2) * n * m / pow(n::DOUBLE + m, 2)), 6) AS estatistica, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM s GROUP BY par, dim",
+    "fisher_combinado": f"WITH {_V}, {_WIN}, {_CEN}, {_DIM}, kd AS (SELECT par, dim, max(abs(ca / n::DOUBLE - cb / m::DOUBLE)) * sqrt(any_value(n)::DOUBLE * any_value(m) / (any_value(n) + any_value(m))) AS t FROM s GROUP BY par, dim), "
+    "kp AS (SELECT par, CASE WHEN t < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(generate_series(1, 100), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t))))) END AS p FROM kd), "
+    "fx AS (SELECT par, -2 * sum(ln(least(1.0, greatest(p, 1e-300)))) AS x, count(*) AS dims FROM kp GROUP BY par) "
+    "SELECT par, 'KS' AS teste, round(CASE WHEN x <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(generate_series(0, dims - 1), lambda i: exp(i * ln(x / 2) - lgamma(i + 1) - x / 2)))) END, 6) AS p_value, round(x, 6) AS estatistica FROM fx",
     "corrida_principal": f"WITH {_RES}, u AS (SELECT granularidade, escopo, condicao || '-' || repeticao AS ts, count(*) AS n, condicao = 'time_ordered' AND repeticao = 1 AS smoke FROM r GROUP BY granularidade, escopo, condicao, repeticao) SELECT granularidade, escopo, ts, n FROM u WHERE NOT smoke QUALIFY row_number() OVER (PARTITION BY granularidade, escopo ORDER BY n DESC, ts DESC) = 1",
     "par_idx": f"SELECT *, {_IDX} FROM drift_results",
     "filtro_janela_invalida": f"WITH {_RES}, {_KEPT} SELECT * FROM x",
     "tabela_p_values": f"WITH {_RES}, {_KEPT}, {_TAB} {_TABOUT}",
     "tabela_replica": f"WITH {_RES}, {_KEPT}, {_TAB} {_TABOUT} WHERE escopo = 'global' AND granularidade = 'mensal'",
     "tabela_condicional": f"WITH {_RES}, {_KEPT}, {_TAB} {_TABOUT} WHERE escopo IN ('mercado', 'nao_mercado') AND granularidade = 'mensal'",
-    "tabela_anexo_bisemanal": f"WITH {_RES}, {_KEPT}, {_TAB} {_TABOUT} WHERE granularidade = 'bisemanal'",
+    "tabela_anexo_bisemanal": f"WITH r AS (SELECT * REPLACE (janela_a || '-01_' || janela_a || '-14' AS janela_a, janela_b || '-01_' || janela_b || '-14' AS janela_b), 'bisemanal' AS granularidade FROM drift_results), {_KEPT}, {_TAB} {_TABOUT}",
+    "condicoes_pareadas": f"WITH i AS (SELECT *, {_IDX} FROM drift_results), o AS (SELECT escopo, teste, par_idx, min(p_value) AS p FROM i WHERE condicao = 'time_ordered' GROUP BY ALL), z AS (SELECT escopo, teste, par_idx, avg(p_value) AS m, min(p_value) AS lo, max(p_value) AS hi FROM i WHERE condicao = 'randomized' GROUP BY ALL) SELECT coalesce(o.escopo, z.escopo) AS escopo, coalesce(o.teste, z.teste) AS teste, coalesce(o.par_idx, z.par_idx) AS par_idx, round(p, 8) AS ordenado, round(m, 8) AS medio, round(lo, 8) AS minimo, round(hi, 8) AS maximo FROM o FULL JOIN z ON o.escopo = z.escopo AND o.teste = z.teste AND o.par_idx = z.par_idx",
+    "linhas_descartadas": f"WITH {_RES} SELECT granularidade, escopo, count(*) FILTER (granularidade = 'mensal' AND coalesce(janela_a = '2017-10' OR janela_b = '2017-10', false)) AS linhas FROM r GROUP BY 1, 2",
     "gap_condicoes": f"WITH {_RES}, {_KEPT}, {_TAB}, g AS (SELECT escopo, granularidade, avg(mean) FILTER (condicao = 'time_ordered') AS o, avg(mean) FILTER (condicao = 'randomized') AS z FROM tb GROUP BY 1, 2) SELECT escopo, granularidade, round(o, 8) AS time_ordered, round(z, 8) AS randomized, round(z - o, 8) AS gap FROM g",
     "envelope_kts": f"WITH i AS (SELECT *, {_IDX} FROM drift_results) SELECT escopo, par_idx, min(p_value) AS min, max(p_value) AS max FROM i WHERE teste = 'KTS' AND condicao = 'randomized' GROUP BY 1, 2",
 }

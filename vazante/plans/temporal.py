@@ -84,22 +84,37 @@ _CAL = (
 _YEARS = f"y AS (SELECT year(day)::INTEGER AS ano, count(*) FILTER (positive) AS positivos, count(*) FILTER (NOT positive) AS negativos, count(*) AS total FROM {ART} WHERE day IS NOT NULL GROUP BY 1)"
 _MONTHLY = _series_sql("month", "1 MONTH", f"AND day < DATE '{LAST_MONTH}'")
 _PAIRS = "SELECT sum(sign(b.v - a.v)) AS s, count(*) AS n, count(*) FILTER (a.v = b.v) AS t FROM m a JOIN m b ON a.data < b.data"
-_CAT = f"""WITH a AS (SELECT day, category FROM {ART}),
+#: Two-sided normal tail 2 (1 - Phi(x)) of x >= 0, by Simpson's rule.
+_TAIL = "CASE WHEN {0} > 12 THEN 0.0 ELSE greatest(0.0, 1 - 2 * {0} / 6000 * list_sum(list_transform(generate_series(0, 2000), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(i * {0} / 2000, 2) / 2) / sqrt(2 * pi())))) END"
+#: CTE ih(n, c): shares of the permutations of n things by their number of inversions, from 0 on.
+_INVERSIONS = (
+    "ih AS (SELECT 1 AS n, [1.0::DOUBLE] AS c UNION ALL SELECT n + 1, list_transform(generate_series(1, len(c) + n), lambda k: coalesce(list_sum(c[greatest(1, k - n) : least(k, len(c))]), 0.0) / (n + 1)) FROM ih WHERE n < 60)"
+)
+_CAT = f"""a AS (SELECT day, category FROM {ART}),
 n AS (SELECT category, count(*) AS n_total FROM a WHERE category IS NOT NULL GROUP BY 1),
 mt AS (SELECT date_trunc('month', day)::DATE AS data, count(*) AS total FROM a WHERE day < DATE '{LAST_MONTH}' GROUP BY 1),
 mc AS (SELECT category, date_trunc('month', day)::DATE AS data, count(*) AS k FROM a WHERE day < DATE '{LAST_MONTH}' GROUP BY 1, 2),
 m AS (SELECT n.category, mt.data, coalesce(k, 0) / mt.total::DOUBLE AS v, coalesce(k, 0) AS k FROM n CROSS JOIN mt LEFT JOIN mc ON mc.category = n.category AND mc.data = mt.data),
-cov AS (SELECT category, count(*) FILTER (k > 0) AS n_meses_cobertos FROM m GROUP BY 1),
+cov AS (SELECT category, count(*) FILTER (k > 0) AS n_meses_cobertos, count(*) AS months, arg_min(v, data) AS v1, arg_max(v, data) AS v2 FROM m GROUP BY 1),
+ti AS (SELECT category, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT category, count(*) AS t FROM m GROUP BY category, v) GROUP BY 1),
 mk AS (SELECT a.category, sum(sign(b.v - a.v)) AS s, count(*) AS n, count(*) FILTER (a.v = b.v) AS t FROM m a JOIN m b ON a.category = b.category AND a.data < b.data GROUP BY 1),
 yt AS (SELECT year(day) AS ano, count(*) AS total FROM a WHERE day IS NOT NULL GROUP BY 1),
 yc AS (SELECT category, year(day) AS ano, count(*) AS k FROM a WHERE day IS NOT NULL GROUP BY 1, 2),
 y AS (SELECT n.category, yt.ano, coalesce(k, 0)::DOUBLE AS k, yt.total::DOUBLE AS total FROM n CROSS JOIN yt LEFT JOIN yc ON yc.category = n.category AND yc.ano = yt.ano),
-fl AS (SELECT category, arg_min(k, ano) AS k1, arg_min(total, ano) AS n1, arg_max(k, ano) AS k2, arg_max(total, ano) AS n2, count(*) AS years, sum(k) AS ks, sum(total) AS ts FROM y GROUP BY 1),
-z AS (SELECT category, years, ks, ts, (k1/n1 - k2/n2) / nullif(sqrt((k1+k2)/(n1+n2) * (1-(k1+k2)/(n1+n2)) * (1/n1+1/n2)), 0) AS z FROM fl),
-q AS (SELECT y.category, sum((y.k - y.total*ks/ts)**2 / (y.total*ks/ts) + ((y.total-y.k) - y.total*(ts-ks)/ts)**2 / (y.total*(ts-ks)/ts)) AS x FROM y JOIN fl USING (category) WHERE ks > 0 AND ks < ts GROUP BY 1)
-SELECT n.category AS categoria, n_total, n_meses_cobertos, round(s / nullif(sqrt(mk.n::DOUBLE * (mk.n - t)), 0), 6) AS mk_tau,
-round(CASE WHEN years >= 2 THEN coalesce(z, 0.0) END, 6) AS zp_estatistica, round(CASE WHEN years > 2 THEN x END, 6) AS qui_estatistica
-FROM n JOIN cov USING (category) JOIN mk USING (category) JOIN z USING (category) LEFT JOIN q USING (category)"""
+fl AS (SELECT category, min(ano)::INTEGER AS a1, max(ano)::INTEGER AS a2, arg_min(k, ano) AS k1, arg_min(total, ano) AS n1, arg_max(k, ano) AS k2, arg_max(total, ano) AS n2, count(*) AS years, sum(k) AS ks, sum(total) AS ts FROM y GROUP BY 1),
+z AS (SELECT category, years, ks, ts, a1, a2, (k1/n1 - k2/n2) / nullif(sqrt((k1+k2)/(n1+n2) * (1-(k1+k2)/(n1+n2)) * (1/n1+1/n2)), 0) AS z FROM fl),
+q AS (SELECT y.category, sum((y.k - y.total*ks/ts)**2 / (y.total*ks/ts) + ((y.total-y.k) - y.total*(ts-ks)/ts)**2 / (y.total*(ts-ks)/ts)) AS x FROM y JOIN fl USING (category) WHERE ks > 0 AND ks < ts GROUP BY 1),
+tt AS (SELECT n.category AS categoria, n_total, n_meses_cobertos, v1, v2, months, mk.s, mk.n AS pairs, mk.t AS tied, s / nullif(sqrt(mk.n::DOUBLE * (mk.n - t)), 0) AS tau,
+abs(s) / nullif(sqrt((months * (months - 1) * (2.0 * months + 5) - ties) / 18), 0) AS mkz, CASE WHEN years >= 2 THEN coalesce(z, 0.0) END AS z, z IS NULL AS level, a1, a2, years, CASE WHEN years > 2 THEN x END AS x
+FROM n JOIN cov USING (category) JOIN ti USING (category) JOIN mk USING (category) JOIN z USING (category) LEFT JOIN q USING (category))"""
+_CAT_STATISTICS = f"WITH {_CAT} SELECT categoria, n_total, n_meses_cobertos, round(tau, 6) AS mk_tau, round(z, 6) AS zp_estatistica, round(x, 6) AS qui_estatistica FROM tt"
+#: All columns for corpora of an odd number of years (an even number of degrees of freedom), three at least, and up to 60 months.
+_CAT_TESTS = (
+    f"WITH RECURSIVE {_INVERSIONS}, {_CAT}, xp AS (SELECT *, CASE WHEN tied = 0 THEN least(1.0, 2 * list_sum((SELECT c FROM ih WHERE ih.n = months)[1 : least((pairs - s) // 2, (pairs + s) // 2)::BIGINT + 1])) END AS exact FROM tt) "
+    "SELECT categoria, n_total, n_meses_cobertos, round(v1, 6) AS prevalencia_primeiro_mes, round(v2, 6) AS prevalencia_ultimo_mes, round(tau, 6) AS mk_tau, "
+    f"round(CASE WHEN tau IS NULL THEN NULL WHEN tied = 0 THEN exact ELSE {_TAIL.format('mkz')} END, 6) AS mk_p, round(z, 6) AS zp_estatistica, round(CASE WHEN level THEN 1.0 ELSE {_TAIL.format('abs(z)')} END, 6) AS zp_p, "
+    "a1 AS zp_ano_1, a2 AS zp_ano_2, round(x, 6) AS qui_estatistica, round(exp(-x / 2) * list_sum(list_transform(generate_series(0, (years - 3) // 2), lambda i: pow(x / 2, i) / factorial(i::INTEGER))), 6) AS qui_p FROM xp"
+)
 
 ORACLE_SQL = {
     "serie_mensal_prevalencia": _MONTHLY,
@@ -125,5 +140,6 @@ ORACLE_SQL = {
     "mann_kendall": f"WITH s AS ({_MONTHLY}), m AS (SELECT data, (positivos / total::DOUBLE) AS v FROM s WHERE total > 0), p AS ({_PAIRS}), e AS (SELECT count(*) AS n, arg_min(v, data) AS a, arg_max(v, data) AS b FROM m) SELECT round(s / nullif(sqrt(p.n::DOUBLE * (p.n - t)), 0), 8) AS tau, e.n, round(a, 8) AS primeiro, round(b, 8) AS ultimo, round(b - a, 8) AS delta FROM p, e",
     "z_proporcoes": f"WITH {_YEARS}, f AS (SELECT min(ano) AS ano_1, max(ano) AS ano_2, arg_min(positivos, ano)::DOUBLE AS k1, arg_min(total, ano)::DOUBLE AS n1, arg_max(positivos, ano)::DOUBLE AS k2, arg_max(total, ano)::DOUBLE AS n2 FROM y) SELECT ano_1, ano_2, round(coalesce((k1/n1 - k2/n2) / nullif(sqrt((k1+k2)/(n1+n2) * (1-(k1+k2)/(n1+n2)) * (1/n1 + 1/n2)), 0), 0.0), 8) AS estatistica, round(k1/n1 - k2/n2, 8) AS diferenca, round((k1/n1) / nullif(k2/n2, 0), 8) AS razao FROM f WHERE ano_1 < ano_2",
     "qui_quadrado": f"WITH {_YEARS}, t AS (SELECT sum(positivos)::DOUBLE AS k, sum(negativos)::DOUBLE AS m, sum(total)::DOUBLE AS n, count(*) AS years FROM y) SELECT round(sum((positivos - total*k/n)**2 / (total*k/n) + (negativos - total*m/n)**2 / (total*m/n)), 8) AS estatistica, (any_value(years) - 1)::INTEGER AS df FROM y, t",
-    "deriva_por_categoria_estatisticas": _CAT,
+    "deriva_por_categoria_estatisticas": _CAT_STATISTICS,
+    "deriva_por_categoria": _CAT_TESTS,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import logging
 import platform
@@ -40,9 +41,41 @@ def write_json(path: str | Path, data: object) -> None:
     path.write_text(json.dumps(data, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
 
 
+def write_rows_csv(rows: list[dict], path: str | Path) -> None:
+    """A few rows held by the driver as one CSV file; nested values as JSON, accents kept."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    with path.open("w", encoding="utf-8", newline="") as out:
+        writer = csv.DictWriter(out, names)
+        writer.writeheader()
+        for row in rows:
+            writer.writerow({k: json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else v for k, v in row.items()})
+
+
+BLOCKS = ("statistical", "semantic", "change_points", "embeddings")
+SCOPES = ("global", "mercado", "nao_mercado")
+GRANULARITIES = ("mensal", "bisemanal", "diario")
+
+
+def drift_folder(root: str | Path, block: str, scope: str, granularity: str | None = None, when: datetime | None = None) -> Path:
+    """The folder of a drift run: ``embeddings/<scope>`` is one folder that is used again, all other blocks get a new
+    one a run. Unknown blocks, scopes and granularities, and a missing granularity, are errors."""
+    if block not in BLOCKS:
+        raise ValueError(f"unknown block: {block}; known: {BLOCKS}")
+    if block == "embeddings":
+        path = Path(root) / block / scope
+        path.mkdir(parents=True, exist_ok=True)
+        return path
+    granularity = granularity or ("diario" if block == "change_points" else None)
+    if scope not in SCOPES or granularity not in GRANULARITIES:
+        raise ValueError(f"scope one of {SCOPES} and granularity one of {GRANULARITIES} are needed")
+    return run_folder(Path(root) / block, granularity, scope, when=when)
+
+
 def run_folder(root: str | Path, *parts: str, when: datetime | None = None) -> Path:
     """A new folder ``<time>-<parts>`` below ``root``; a number is added rather than reuse one."""
-    slug = "-".join(re.sub(r"[^a-z0-9]+", "-", p.lower()).strip("-") for p in parts)
+    slug = "-".join(re.sub(r"[^a-z0-9_]+", "-", p.lower()).strip("-") for p in parts)
     name = f"{(when or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%SZ')}-{slug}"
     path, k = Path(root) / name, 2
     while path.exists():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -85,9 +86,25 @@ def read_best(folder: str | Path, fold: int = 0) -> dict:
     """Hyper-parameters that a primary run chose for a fold; an error if it has none."""
     path = Path(folder) / "hp.json"
     if not path.exists():
-        raise FileNotFoundError(path)
+        raise FileNotFoundError(f"{path}: run the primary scenario first")
     return read_json(path)[str(fold)]
 
 
+def read_pairs_if_there(spark: SparkSession, path: str | Path | None) -> DataFrame | None:
+    """The near-duplicate pairs of a CSV file, or None if there is no such file."""
+    return read_pairs_csv(spark, str(path)) if path and Path(path).exists() else None
+
+
+def unzip(path: str | Path, folder: str | Path) -> list[Path]:
+    """Extract an archive of data files; members that would land outside ``folder`` are an error."""
+    folder = Path(folder).resolve()
+    with zipfile.ZipFile(path) as archive:
+        for name in archive.namelist():
+            if not (folder / name).resolve().is_relative_to(folder):
+                raise ValueError(f"{name} lies outside the folder")
+        archive.extractall(folder)
+        return [folder / n for n in archive.namelist() if not n.endswith("/")]
+
+
 def read_prompt(path: str | Path) -> str:
     return Path(path).read_text(encoding="utf-8")
