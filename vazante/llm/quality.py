@@ -45,12 +45,6 @@ COMMON = frozenset(
     het een van en dat niet zijn op te voor met maar ook och att som på är av för den det inte med
     в и на не что с по к из как это у от за для был она он они""".split()
 )
-# Labels of site navigation.
-LABELS = frozenset(
-    """anterior anuncie assine blogs busca buscar capa clube comentar compartilhar contato contacto entrar esportes fale
-    conosco fotos home imprimir início inicio leia loja login mapa menu newsletter política privacidade próxima publicidade
-    rss sair site topo últimas vídeos videos voltar""".split()
-)
 WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 MARKER = re.compile(r"\s*(?:[•‣◦▪■●○·*→►✓✔+\-–—]|\(?\d{1,3}(?:[.)ºª°]|\.?-)|\(?[a-zA-Z]\)|[ivxIVX]{1,4}[.)]|\[[ xX✓]?\]|[☐☑☒])[\s\xa0]+\S")
@@ -68,7 +62,7 @@ HEADING = 30
 FINAL = ".!?…:\"”»"
 
 SUMS = (
-    "chars letters digits words alpha common long mixed bad code enders stops pipes arrows tabs semis tight gaps cells tags labels word_chars"
+    "chars letters digits words alpha common long mixed bad code enders stops pipes arrows tabs semis tight gaps cells tags word_chars"
 ).split()
 FLAGS = "marker ends_common ends_stop".split()
 FRAGMENT = [*SUMS, *FLAGS]
@@ -90,7 +84,7 @@ class _WordInfo(dict):
         low, letters = word.lower(), sum(map(str.isalpha, word))
         plain = len(word) < 8 or word.isdigit() or word.isalpha() and (word.islower() or word.istitle() or word.isupper())
         size = len(word)
-        parts = (low in COMMON, not plain, letters > 0, low in LABELS, size if size > LONG else 0, size, size - letters)
+        parts = (low in COMMON, not plain, letters > 0, size if size > LONG else 0, size, size - letters)
         value = sum(int(x) << FIELD * k for k, x in enumerate(parts))
         if len(self) > 200_000:
             self.clear()
@@ -122,7 +116,7 @@ def fragment(text: str, hints: Hints = ALL_HINTS, begins: bool = True) -> list[i
         return [0] * len(FRAGMENT)
     words = WORD.findall(text)
     packed = sum(map(_info.__getitem__, words))
-    common, mixed, alpha, labels, long, word_chars, digits = (packed >> FIELD * k & MASK for k in range(7))
+    common, mixed, alpha, long, word_chars, digits = (packed >> FIELD * k & MASK for k in range(6))
     last = words[-1] if words else ""
     stripped = text.rstrip()
     marker = MARKER.match(text) if begins else None
@@ -131,7 +125,7 @@ def fragment(text: str, hints: Hints = ALL_HINTS, begins: bool = True) -> list[i
     return [
         solid, word_chars - digits, digits, len(words), alpha, common, long, mixed, extra("bad", 0), code, len(ENDERS.findall(text)),
         text.count(",") + text.count(";") + text.count(":"), text.count("|") + text.count("│"), extra("arrows", 0), text.count("\t"),
-        extra("semis", 0), extra("tight", 0), extra("gaps", 0), extra("cells", 0), extra("tags", 0), labels, word_chars,
+        extra("semis", 0), extra("tight", 0), extra("gaps", 0), extra("cells", 0), extra("tags", 0), word_chars,
         int(marker is not None), int(bool(last) and _info[last] & 1 and stripped.endswith(last)), int(stripped[-1] in FINAL),
     ]
 
@@ -274,8 +268,6 @@ def kind_of(c: dict[str, int]) -> str | None:
                 prose -= min(prose, c[f"{edge}_words"])
     if prose > 0.2 * words:
         return None
-    if c["row_lines"] <= 2 and c["row_lines"] + c["noise_lines"] >= c["item_lines"] and (c["pipes"] + c["arrows"] + c["gaps"] >= 6 * (lines - c["rule_lines"])) and c["labels"] * 5 >= words:
-        return "junk"
     if lines <= 2 and c["pipes"] + c["arrows"] + c["gaps"] >= 4 and c["digits"] * 10 < c["letters"] and not c["cells"]:
         return "junk"
     if c["code"] - 2 * c["cells"] > 0.08 * chars and not c["cells"]:
@@ -288,7 +280,7 @@ def kind_of(c: dict[str, int]) -> str | None:
     if c["row_lines"] >= 2 and c["row_lines"] >= c["item_lines"]:
         return "table" if c["row_words"] >= noise else "junk"
     if c["item_lines"] + c["middle_lines"] >= 2 and c["item_words"] + c["middle_words"] >= noise:
-        return "junk" if c["labels"] * 2 >= words else "list"
+        return "list"
     if c["row_lines"] >= 1 and c["row_words"] >= noise and lines - c["rule_lines"] <= 3:
         return "table"
     if noise:
