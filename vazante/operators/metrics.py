@@ -51,7 +51,7 @@ def running_totals(rows: DataFrame, group: str, order: str, values: list[str]) -
     earlier = W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select("__part", group, *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__{v}") for v in values))
     return (
-        ranged.join(F.broadcast(before), ["__part", group])
+        ranged.join(before, ["__part", group])
         .select(*rows.columns, *((F.sum(v).over(inside) + F.col(f"__{v}")).alias(f"total_{v}") for v in values))
     )
 
