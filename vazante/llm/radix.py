@@ -36,9 +36,9 @@ PIECE = 16
 
 @dataclass(frozen=True)
 class RadixSettings:
-    """fits: entries a bucket may hold (more, in proportion, from 2.5 billion strings on); step: bytes by which an oversized bucket is split further."""
+    """fits: entries a bucket may hold (more, in proportion, from 250 million strings on); step: bytes by which an oversized bucket is split further."""
 
-    fits: int = 20_000
+    fits: int = 2_000
     step: int = 4
 
 
@@ -225,7 +225,7 @@ def split_table(entries: DataFrame, fits: int, step: int) -> dict[bytes, int]:
 def bucketed(entries: DataFrame, settings: RadixSettings) -> DataFrame:
     """``bucket, key, copies, id, h1, h2`` of entries: the bucket is the prefix at which it fits or its strings end."""
     number = entries.count()
-    fits = max(settings.fits, -(-number * 8 // MOST_SPLITS))  # so that the table stays small, beyond some billions of strings
+    fits = max(settings.fits, -(-number * 8 // MOST_SPLITS))  # so that the table stays small, beyond some hundred million strings
     splits = split_table(entries, fits, settings.step) if number > fits else {}
     sent = entries.sparkSession.sparkContext.broadcast(splits)
 
