@@ -62,3 +62,13 @@ def test_two_classes_and_one(spark):
         assert len(out) == 21 and all(r.y_pred == r.y for r in out if r.y) and set(out[0].scores) == {"a", "b"}
     with pytest.raises(ValueError, match="two classes"):
         M.train(docs.filter("y = 'a'"), M.Config(min_df=1))
+
+
+def test_search_tries_the_whole_grid_together(spark):
+    text = {"a": "sol praia", "b": "neve frio", "c": "chuva vento"}
+    docs = spark.createDataFrame([(k, text["abc"[k % 3]], "abc"[k % 3]) for k in range(30)], "id long, text string, y string")
+    for family in ("logreg", "svm"):
+        tried, best = M.search(docs.filter("id < 21"), docs.filter("id >= 21"), "a", M.Config(family, min_df=1, iterations=8))
+        assert [t[:2] for t in tried] == list(M.GRID) and best == 0
+        assert all(t[2:] == (3, 0, 0, 1.0) for t in tried)
+    assert M.best_of([0.1, 0.4, 0.4]) == 1

@@ -297,3 +297,16 @@ def test_near_pairs_of_a_large_family(spark, monkeypatch):
     found = D.near_pairs(docs)
     assert {tuple(r) for r in found.pairs.collect()} == whole and len(whole) > 70 * 69 // 3
     assert found.members.filter("rep = 70").count() == 30
+
+
+def test_tfidf_is_the_same_with_a_joined_vocabulary(spark, monkeypatch):
+    from vazante.operators import lexical as L
+
+    rng = random.Random(4)
+    words = [f"palavra{chr(97 + k)}" for k in range(20)]
+    docs = spark.createDataFrame([(k, "ab"[k % 2], " ".join(rng.choices(words, k=9)) if k % 5 else None) for k in range(80)], "id long, category string, text string")
+    sent = [tuple(r) for r in L.tfidf_top(docs, 8).orderBy("categoria", "rank").collect()]
+    monkeypatch.setattr(L, "MOST_TERMS", 0)
+    joined = [tuple(r) for r in L.tfidf_top(docs, 8).orderBy("categoria", "rank").collect()]
+    assert sent == joined and len(sent) == 16
+    assert L.tfidf_top(docs.limit(0)).count() == 0

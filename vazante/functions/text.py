@@ -49,7 +49,7 @@ def letters_and_numbers(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-# Portuguese stop words that carry no subject.
+# Portuguese stop words. Token results depend on exactly this list.
 STOP_WORDS = (
     "a à às ao aos aquela aquelas aquele aqueles aquilo as com como da das de dela delas dele deles depois do dos e é ela elas "
     "ele eles em entre era eram essa essas esse esses esta estas este estes estou eu foi foram há isso isto já lhe lhes mais mas "

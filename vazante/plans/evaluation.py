@@ -135,6 +135,7 @@ QUERIES = {
     "kts": lambda s, d: rounded(D.kernel_tests(_windowed(s, d)).filter("teste = 'KTS'")),
     "lsdd": lambda s, d: rounded(D.kernel_tests(_windowed(s, d)).filter("teste = 'LSDD'")),
     "mmd2": lambda s, d: rounded(D.kernel_tests(_windowed(s, d), permutations=1).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor"))),
+    "mmd2_exato": lambda s, d: rounded(D.exact_kernel_tests(_windowed(s, d), 1, most=8_000).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor")), 6),
     "todos_os_testes": lambda s, d: rounded(D.all_tests(_windowed(s, d))),
     "drift_estatistico": statistical_drift,
     "drift_semantico": semantic_drift,
@@ -220,6 +221,10 @@ ORACLE_SQL = {
     "kp AS (SELECT par, CASE WHEN t < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(generate_series(1, 100), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t))))) END AS p FROM kd), "
     "fx AS (SELECT par, -2 * sum(ln(least(1.0, greatest(p, 1e-300)))) AS x, count(*) AS dims FROM kp GROUP BY par) "
     "SELECT par, 'KS' AS teste, round(CASE WHEN x <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(generate_series(0, dims - 1), lambda i: exp(i * ln(x / 2) - lgamma(i + 1) - x / 2)))) END, 6) AS p_value, round(x, 6) AS estatistica FROM fx",
+    "mmd2_exato": f"WITH {_V}, {_WIN}, b AS (SELECT janela_idx AS par, 0 AS lado, link, embedding::DOUBLE[] AS e FROM w UNION ALL SELECT janela_idx - 1, 1, link, embedding::DOUBLE[] FROM w), "
+    "c AS (SELECT * FROM b WHERE par >= 0 AND par < (SELECT max(janela_idx) FROM w)), g AS (SELECT x.par, x.lado AS la, y.lado AS lb, x.link < y.link AS up, pow(list_distance(x.e, y.e), 2) AS d FROM c x JOIN c y ON x.par = y.par), "
+    "s AS (SELECT par, greatest(median(d) FILTER (up), 1e-18) AS v FROM g GROUP BY par), k AS (SELECT g.par, la, lb, exp(-d / (2 * coalesce(v, 1.0))) AS k FROM g JOIN s ON s.par = g.par) "
+    "SELECT par, round(avg(k) FILTER (la = 1 AND lb = 1) + avg(k) FILTER (la = 0 AND lb = 0) - 2 * avg(k) FILTER (la = 0 AND lb = 1), 6) AS valor FROM k GROUP BY par",
     "corrida_principal": f"WITH {_RES}, u AS (SELECT granularidade, escopo, condicao || '-' || repeticao AS ts, count(*) AS n, condicao = 'time_ordered' AND repeticao = 1 AS smoke FROM r GROUP BY granularidade, escopo, condicao, repeticao) SELECT granularidade, escopo, ts, n FROM u WHERE NOT smoke QUALIFY row_number() OVER (PARTITION BY granularidade, escopo ORDER BY n DESC, ts DESC) = 1",
     "par_idx": f"SELECT *, {_IDX} FROM drift_results",
     "filtro_janela_invalida": f"WITH {_RES}, {_KEPT} SELECT * FROM x",

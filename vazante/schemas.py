@@ -9,10 +9,6 @@ from pyspark.sql import types as T
 
 RAW_COLUMNS = ("title", "text", "date", "category", "subcategory", "link")
 RAW_ARTICLES = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-DRIFT_RESULTS = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("janela_a", "janela_b", "teste", "condicao")]
-    + [T.StructField("repeticao", T.IntegerType()), T.StructField("p_value", T.DoubleType()), T.StructField("estatistica", T.DoubleType())]
-)
 
 POSITIVE = "mercado"
 #: The anchor classes of the eight-class and five-class rollups.
