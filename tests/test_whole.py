@@ -157,3 +157,51 @@ def test_all_duplicates(spark):
     rows = spark.createDataFrame(list(enumerate(_copies_and_edits())), "id long, text string")
     exact, near = U.all_duplicates(rows, ["text"])
     assert exact.first().linhas_duplicadas == 4 and near.pairs.count() == 1
+
+
+def discrepancy(x, y):
+    """From whole matrices, as the definition has it."""
+    z = np.concatenate([x, y])
+    gaps = ((z[:, None] - z) ** 2).sum(2)
+    near = np.exp(-gaps / (2 * max(np.median(gaps[np.triu_indices(len(z), 1)]), 1e-18)))
+    n = len(x)
+    return near[:n, :n].mean() + near[n:, n:].mean() - 2 * near[:n, n:].mean()
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "mostly one", "far off"])
+def test_exact_discrepancy_in_parts_equals_the_whole(spark, monkeypatch, kind):
+    monkeypatch.setattr(D, "SIDE", 60)
+    monkeypatch.setattr(D, "CHUNK", 200)
+    monkeypatch.setattr(D, "MOST_TASKS", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 3)).astype(np.float32)
+    if kind == "copies":
+        x[50:120] = x[:70]
+    if kind == "mostly one":
+        x[:250] = x[0]
+    if kind == "far off":
+        x[7] = 1e6
+    window = np.sort(rng.integers(0, 3, 300)) + (np.arange(300) >= 290) * 2  # the last one has no neighbour
+    rows = [(k, int(w), f"w{w}", [float(a) for a in v]) for k, (w, v) in enumerate(zip(window, x))]
+    df = spark.createDataFrame([*rows, (999, 0, "w0", None)], "id long, janela_idx int, rotulo string, embedding array<float>")
+    got = {r.par: r.valor for r in D.exact_discrepancy(df).collect()}
+    assert got == {p: pytest.approx(discrepancy(x[window == p].astype(float), x[window == p + 1].astype(float)), abs=1e-9) for p in (0, 1)}
+
+
+def test_mmd2_exato_takes_windows_of_any_size(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (2, 40, 16)).astype(np.float32)
+    x[1] += 0.5
+    rows = [(f"l{m}-{k}", f"2015-0{m + 1}-03", [float(a) for a in x[m, k % 40]]) for m in range(2) for k in range(4_400)]
+    df = spark.createDataFrame(rows, "link string, date string, embedding array<float>")
+    df.withColumn("date", df["date"].cast("date")).write.parquet(f"{tmp_path}/article_vectors.parquet")
+    (got,) = evaluation.QUERIES["mmd2_exato"](spark, str(tmp_path)).collect()
+    # 110 copies of each: the median over pairs of rows counts pairs of copies, too
+    whole = np.concatenate(x).astype(float)
+    gaps = ((whole[:, None] - whole) ** 2).sum(2)
+    times = np.where(np.eye(80) > 0, 110 * 109 // 2, 110 * 110) * np.triu(np.ones((80, 80), int))
+    order = np.argsort(gaps, axis=None)
+    upto = np.cumsum(times.ravel()[order])
+    middle = np.mean([gaps.ravel()[order][np.searchsorted(upto, k, "right")] for k in ((upto[-1] - 1) // 2, upto[-1] // 2)])
+    near = np.exp(-gaps / (2 * middle))
+    assert got.par == 0 and got.valor == pytest.approx(near[:40, :40].mean() + near[40:, 40:].mean() - 2 * near[:40, 40:].mean(), abs=2e-6)

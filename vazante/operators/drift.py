@@ -24,6 +24,10 @@ from .sampling import random_key
 
 WINDOW = ("janela_idx", "rotulo")
 MOST_PAIRS = 100_000  # of windows; more are an error
+SIDE = 8_192  # different vectors of a window that are worked on together
+CHUNK = 1 << 18  # distances held at a time
+MOST_TASKS = 2_000
+FIRST_SHIFT, FIRST_BITS, NEXT_BITS, LAST_SHIFT = 39, 16, 20, 19  # of the ranges in which a median is sought, see exact_discrepancy
 
 
 def in_period(rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -334,6 +338,166 @@ def exact_kernel_tests(rows: DataFrame, permutations: int = 100, seed: int = 202
     return sided.groupBy("par").applyInPandas(test, "par int, teste string, p_value double, estatistica double")
 
 
+def _cells(vectors: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """``wa, ia, wb, ib, lado, embedding, n`` of ``vectors(janela_idx, embedding, n)``: each of the ``parts`` of a window
+    beside every part of its own and of the next window. A part beside itself is there once."""
+    known = vectors.sparkSession.createDataFrame([(w, k, parts.get(w + 1, 0), parts.get(w - 1, 0)) for w, k in parts.items()], "janela_idx int, own int, after int, before int")
+    placed = vectors.join(F.broadcast(known), "janela_idx").withColumn("part", F.pmod(F.xxhash64("embedding"), F.col("own")).cast("int"))
+    w, part = F.col("janela_idx"), F.col("part")
+
+    def beside(parts: str, wa: Column, wb: Column, make) -> Column:
+        def cell(k: Column) -> Column:
+            ia, ib, side = make(k)
+            return F.struct(wa.alias("wa"), ia.alias("ia"), wb.alias("wb"), ib.alias("ib"), side.cast("int").alias("lado"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.col(parts)), lambda k: k < F.col(parts)), cell)
+
+    own = beside("own", w, w, lambda k: (F.least(part, k), F.greatest(part, k), k < part))
+    later = beside("after", w, w + 1, lambda k: (part, k, F.lit(0)))
+    earlier = beside("before", w - 1, w, lambda k: (k, part, F.lit(1)))
+    return placed.select(F.explode(F.concat(own, later, earlier)).alias("c"), "embedding", "n").select("c.*", "embedding", "n")
+
+
+def _gaps(pdf: pd.DataFrame, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Squared distances in a cell, each pair of vectors once, and the pairs of rows that each stands for (None: one)."""
+    x, y = (np.array(pdf["embedding"][pdf["lado"] == side].tolist(), float) for side in (0, 0 if same else 1))
+    n, m = (pdf["n"][pdf["lado"] == side].to_numpy(float) for side in (0, 0 if same else 1))
+    if not len(x) or not len(y):
+        return
+    middle = np.median(x, axis=0)
+    x, y = x - middle, y - middle
+    a, b = (x**2).sum(1), (y**2).sum(1)
+    left = np.concatenate([-2 * x, a[:, None], np.ones((len(x), 1))], axis=1)
+    right = np.concatenate([y, np.ones((len(y), 1)), b[:, None]], axis=1).T.copy()
+    plain = n.max() == 1 and m.max() == 1
+    if same and not plain:
+        yield np.zeros(1), np.array([(n * (n - 1) / 2).sum()])  # copies
+
+    def block(i: slice, j: slice) -> np.ndarray:
+        d = left[i] @ right[:, j]
+        if d.min() < 1e-6 * (a[i].max() + b[j].max()):  # differences of nearly equal numbers are taken anew
+            r, c = np.nonzero(d < 1e-6 * (a[i][:, None] + b[j]))
+            for k in range(0, len(r), 10_000):
+                p, q = r[k : k + 10_000], c[k : k + 10_000]
+                d[p, q] = ((x[i][p] - y[j][q]) ** 2).sum(1)
+        return np.abs(d, out=d)
+
+    height = max(1, CHUNK // len(y))
+    for at in range(0, len(x), height):
+        i = slice(at, min(at + height, len(x)))
+        j = slice(i.stop if same else 0, len(y))
+        if same and i.stop - at > 1:
+            above = np.triu_indices(i.stop - at, 1)
+            yield block(i, i)[above], None if plain else np.outer(n[i], n[i])[above]
+        if j.start < j.stop:
+            yield block(i, j).ravel(), None if plain else np.outer(n[i], m[j]).ravel()
+
+
+def exact_discrepancy(rows: DataFrame) -> DataFrame:
+    """``par, valor``: the squared maximum mean discrepancy of neighbouring windows, from all pairs of their rows.
+
+    The bandwidth is the median squared distance of all rows of the two windows. A task compares two parts of windows
+    at a time, so a window may hold any number of rows; the work grows with its square, that of equal vectors is done
+    once. The median is found by counting distances in ever narrower ranges of floating-point numbers (their bits,
+    taken as integers, have the same order) until a range is narrower than one part in 10^9.
+    """
+    spark, schema = rows.sparkSession, "par int, valor double"
+    kept = rows.filter("embedding is not null")
+    vectors = cut(kept.groupBy("janela_idx", "embedding").agg(F.count("*").alias("n")), "window-vectors")
+    found = vectors.groupBy("janela_idx").agg(F.sum("n").alias("n"), F.count("*").alias("different")).limit(MOST_PAIRS + 2).collect()
+    if len(found) > MOST_PAIRS + 1:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of windows")
+    sizes = {r["janela_idx"]: r["n"] for r in found}
+    parts = {r["janela_idx"]: -(-r["different"] // SIDE) for r in found}
+    pairs = [w for w in sizes if w + 1 in sizes]
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    spans = vectors.agg(*(F.expr(f"cast(max(embedding[{k}]) as double) - cast(min(embedding[{k}]) as double)") for k in range(_width(vectors)))).first()
+    cell = ["wa", "ia", "wb", "ib"]
+    cells = _cells(vectors, parts)
+    tasks = min(3 * sum(k * (k + 1) // 2 + k * parts.get(w + 1, 0) for w, k in parts.items()), MOST_TASKS)
+
+    def each_cell(run, shape: str, wanted: Sequence[int]) -> DataFrame:
+        """``run`` on the cells that pairs of windows ``wanted`` need."""
+        needed = sorted({w for p in wanted for w in (p, p + 1)})
+        return cells.filter(F.col("wa").isin(needed)).repartition(tasks, *cell).groupBy(*cell).applyInPandas(run, shape)
+
+    def used_by(wa: int, wb: int) -> list[int]:
+        return [wa] if wa < wb else [wa - 1, wa]
+
+    # of each pair: ranges (first bits, power of two of a bin's width and of the number of bins) and the ranks sought there
+    most = np.array([max(sum(s * s for s in spans), 1e-300) * (1 + 1e-9)]).view(np.int64)[0]
+    whole = (max(0, int(most) + 1 - (1 << FIRST_SHIFT + FIRST_BITS)), FIRST_SHIFT, FIRST_BITS)
+    ranges: dict[int, dict[tuple, set[int]]] = {}
+    for p in pairs:
+        total = (sizes[p] + sizes[p + 1]) * (sizes[p] + sizes[p + 1] - 1) // 2
+        ranges[p] = {whole: {(total - 1) // 2, total // 2}}
+    middle: dict[int, list[float]] = {p: [] for p in pairs}
+    while ranges:
+
+        def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            wa, ia, wb, ib = map(int, key)
+            tables = {r: np.zeros((2, (1 << r[2]) + 1)) for p in used_by(wa, wb) for r in ranges.get(p, ())}
+            for d, weight in _gaps(pdf, (wa, ia) == (wb, ib)) if tables else ():
+                bits = d.view(np.int64)
+                for (low, shift, power), (number, total) in tables.items():
+                    place = (bits - low) >> shift
+                    inside, under = place.view(np.uint64) < (1 << power), place < 0
+                    own, w = place[inside], None if weight is None else weight[inside]
+                    number[0] += np.count_nonzero(under) if weight is None else weight[under].sum()
+                    if shift > LAST_SHIFT and len(own) > 1 << power:
+                        number[1:] += np.bincount(own, w, 1 << power)
+                    else:
+                        bins, where = np.unique(own, return_inverse=True)
+                        number[bins + 1] += np.bincount(where, w, len(bins))
+                        total[bins + 1] += np.bincount(where, d[inside] if w is None else w * d[inside], len(bins))
+            out = [pd.DataFrame({"par": [], "low": [], "bin": [], "n": [], "total": []})]
+            for p in used_by(wa, wb):
+                for r in ranges.get(p, ()):
+                    number, total = tables[r]
+                    there = np.flatnonzero(number)
+                    out.append(pd.DataFrame({"par": p, "low": r[0], "bin": there - 1, "n": number[there].astype(np.int64), "total": total[there]}))
+            return pd.concat(out[1:] or out)
+
+        sought = spark.createDataFrame([(p, r[0], k) for p, own in ranges.items() for r, ranks in own.items() for k in ranks], "par int, low long, rank long")
+        bins = each_cell(count, "par int, low long, bin int, n long, total double", list(ranges)).groupBy("par", "low", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("par", "low").orderBy("bin")))
+        hits = bins.join(F.broadcast(sought), ["par", "low"]).filter("rank < upto and rank >= upto - n").collect()
+        narrower: dict[int, dict[tuple, set[int]]] = {}
+        for h in hits:
+            low, shift, _ = next(r for r in ranges[h["par"]] if r[0] == h["low"])
+            if h["bin"] < 0:  # under the range
+                power = min(NEXT_BITS, low.bit_length())
+                new = (0, low.bit_length() - power, power)
+            elif shift <= LAST_SHIFT:
+                middle[h["par"]].append(h["total"] / h["n"])
+                continue
+            else:
+                power = min(NEXT_BITS, shift)
+                new = (low + (h["bin"] << shift), shift - power, power)
+            narrower.setdefault(h["par"], {}).setdefault(new, set()).add(h["rank"])
+        ranges = narrower
+
+    wide = {p: 2 * max(float(np.mean(m)), 1e-18) if m else 2.0 for p, m in middle.items()}
+
+    def near(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        wa, ia, wb, ib = map(int, key)
+        sums = {p: 0.0 for p in used_by(wa, wb) if p in wide}
+        for d, weight in _gaps(pdf, (wa, ia) == (wb, ib)) if sums else ():
+            for p in sums:
+                k = np.exp(d / -wide[p])
+                sums[p] += float(k.sum() if weight is None else k @ weight)
+        return pd.DataFrame({"par": list(sums), "kind": ["ab" if wa < wb else "aa" if p == wa else "bb" for p in sums], "total": list(sums.values())})
+
+    sums = {(r["par"], r["kind"]): r["total"] for r in each_cell(near, "par int, kind string, total double", pairs).groupBy("par", "kind").agg(F.sum("total").alias("total")).collect()}
+    out = []
+    for p in pairs:
+        n, m = sizes[p], sizes[p + 1]
+        own = ((2 * sums[p, kind] + k) / k**2 for kind, k in (("aa", n), ("bb", m)))  # every pair twice, a row beside itself once
+        out.append((p, float(sum(own) - 2 * sums[p, "ab"] / (n * m))))
+    return spark.createDataFrame(out, schema)
+
+
 def all_tests(rows: DataFrame, permutations: int = 100, seed: int = 2026) -> DataFrame:
     """The four tests of all neighbouring windows."""
     return combined(ks_statistics(rows), "KS").union(combined(cvm_statistics(rows), "CVM")).union(kernel_tests(rows, permutations, seed))

@@ -135,7 +135,7 @@ QUERIES = {
     "kts": lambda s, d: rounded(D.kernel_tests(_windowed(s, d)).filter("teste = 'KTS'")),
     "lsdd": lambda s, d: rounded(D.kernel_tests(_windowed(s, d)).filter("teste = 'LSDD'")),
     "mmd2": lambda s, d: rounded(D.kernel_tests(_windowed(s, d), permutations=1).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor"))),
-    "mmd2_exato": lambda s, d: rounded(D.exact_kernel_tests(_windowed(s, d), 1, most=8_000).filter("teste = 'KTS'").select("par", F.col("estatistica").alias("valor")), 6),
+    "mmd2_exato": lambda s, d: rounded(D.exact_discrepancy(_windowed(s, d)), 6),
     "todos_os_testes": lambda s, d: rounded(D.all_tests(_windowed(s, d))),
     "drift_estatistico": statistical_drift,
     "drift_semantico": semantic_drift,
