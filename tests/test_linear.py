@@ -72,3 +72,16 @@ def test_search_tries_the_whole_grid_together(spark):
         assert [t[:2] for t in tried] == list(M.GRID) and best == 0
         assert all(t[2:] == (3, 0, 0, 1.0) for t in tried)
     assert M.best_of([0.1, 0.4, 0.4]) == 1
+
+
+def test_splits_of_all_folds_read_texts_twice(spark, monkeypatch):
+    docs = [(k, None if k % 7 == 0 else "Ação", f"acao boa {'sol' if k % 2 else 'neve'} x{k % 3} {'raro' * (k == 5)}", "ab"[k % 2] if k else None, 1 * (k < 15) + 2 * (k < 22), 1 * (15 <= k < 22) + 2 * (k >= 22)) for k in range(30)]
+    df = spark.createDataFrame(docs, "id long, title string, text string, y string, train int, valid int")
+    config = M.Config(min_df=2, vocabulary=9)
+    got = list(M.featured_splits(df, 2, config))
+    for k, split in enumerate(got):
+        want = M.featured_split(df.filter(f"train & {1 << k} <> 0"), df.filter(f"valid & {1 << k} <> 0"), config)
+        assert split.width == want.width
+        for a, b in ((split.inner, want.inner), (split.valid, want.valid)):
+            a, b = (sorted(((r.y or "", sorted(zip(r.indices, (round(x, 5) for x in r.data)))) for r in part.collect()), key=str) for part in (a, b))
+            assert a == b and a
