@@ -85,3 +85,64 @@ def test_splits_of_all_folds_read_texts_twice(spark, monkeypatch):
         for a, b in ((split.inner, want.inner), (split.valid, want.valid)):
             a, b = (sorted(((r.y or "", sorted(zip(r.indices, (round(x, 5) for x in r.data)))) for r in part.collect()), key=str) for part in (a, b))
             assert a == b and a
+
+
+def test_packed_rows_give_the_sums_of_all_rows(monkeypatch):
+    for name, value in (("ROWS", 7), ("DENSE", 3), ("RUN", 5)):
+        monkeypatch.setattr(linear, name, value)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 12)) < 0.6, 0, rng.normal(0, 0.5, (40, 12)))
+    x[3] = x[39] = 0
+    y, w = rng.integers(0, 3, 40), rng.normal(0, 0.5, (13, 4)).astype(np.float32)
+    problems = [Problem("hinge", 1, 0.5), Problem("log", 0), Problem("log", 2, 2.0, 3.0, 0.5), Problem("hinge", 2)]
+    sizes, (_, index) = (x != 0).sum(1), np.nonzero(x)
+    whole = y, sizes, index.astype(np.int32), x[x != 0].astype(np.float32)
+    cut = sizes[:22].sum()
+    parts = [[v[:n] for v, n in zip(whole, (22, 22, cut, cut))], [v[n:] for v, n in zip(whole, (22, 22, cut, cut))]]
+    loss, gradient = linear.Packed(parts, 12).sums(problems, w)
+    for k, p in enumerate(problems):
+        sign, weight = np.where(y == p.positive, 1, -1), p.c * np.where(y == p.positive, p.own_weight, p.other_weight)
+        z = sign * (np.hstack([x, np.ones((40, 1))]) @ w[:, k])
+        gap = np.maximum(1 - z, 0)
+        slope = -sign * weight * (2 * gap if p.loss == "hinge" else 1 / (1 + np.exp(z)))
+        assert loss[k] == pytest.approx((weight * (gap**2 if p.loss == "hinge" else np.log1p(np.exp(-z)))).sum(), rel=1e-5)
+        assert np.allclose(gradient[:, k], np.append(slope @ x, slope.sum()), atol=1e-4)
+
+
+def test_folds_tried_in_tasks_find_what_distributed_passes_find(spark, monkeypatch):
+    monkeypatch.setattr(M, "WHOLE", 0)
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(30)])
+    docs = []
+    for k in range(90):
+        y = k % 3
+        text = " ".join(rng.choice(words[y * 8 : y * 8 + 14], 12))
+        docs.append((text, None if k % 20 == 19 else "abc"[y], 1 * (k < 50) + 2 * (k < 70), 1 * (50 <= k < 70) + 2 * (k >= 70)))
+    df = spark.createDataFrame(docs, "text string, y string, train int, valid int")
+    configs = [M.Config(f, c, b, min_df=2, iterations=12) for f in ("logreg", "svm") for c, b in ((0.1, True), (1.0, False))]
+    for some in (df, df.filter("y is null or y <> 'c'")):  # three classes, two
+        monkeypatch.setattr(M, "WHOLE", 0)
+        splits = list(M.tried_splits(some, 2, "a", configs))
+        assert all(isinstance(s, M.Split) for s in splits)
+        want = [M.search_all(s, "a", [c])[0] for s in splits for c in configs]
+        monkeypatch.setattr(M, "WHOLE", 10**6)
+        monkeypatch.setattr(linear, "DENSE", 5)
+        tried = list(M.tried_splits(some, 2, "a", configs))
+        assert [M.search_all(s, "a", [c])[0] for s in tried for c in configs] == want and all(sum(w[:3]) for w in want)
+        rows, best = M.search(tried[1], None, "a", M.Config("svm", min_df=2, iterations=12), [(0.1, True), (1.0, False)])
+        assert [r[2:] for r in rows] == want[-2:] and best == M.best_of([w[3] for w in want[-2:]])
+    with pytest.raises(ValueError, match="two classes"):
+        list(M.tried_splits(df.filter("y = 'a'"), 2, "a", configs))
+
+
+def test_a_problem_that_is_done_is_not_passed_again():
+    seen = []
+
+    def at(problems, w):
+        seen.append([p.c for p in problems])
+        scale = np.array([[1], [10], [100]], np.float32) ** [p.c > 1 for p in problems]
+        return ((w - 1) ** 2 * scale).sum(0, dtype=float) / 2, (w - 1) * scale
+
+    got = linear.descend(at, 2, [Problem("log", 0, 1.0), Problem("log", 1, 50.0)], 40, 1e-4)
+    assert np.allclose(got, [[1 / 2, 1 / 2], [1 / 2, 10 / 11], [1 / 2, 100 / 101]], atol=1e-3)
+    assert len({len(s) for s in seen}) == 2 and len(seen) < 40
